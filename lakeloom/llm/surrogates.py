@@ -12,6 +12,8 @@ rows are treated alike. An empty table gives no rows. All columns of the input a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -88,7 +90,7 @@ def _letter(alphabet: str, n: Column) -> Column:
     return F.substring(F.lit(alphabet), n % len(alphabet) + 1, F.lit(1))
 
 
-def _like(value: Column, digest: Column, hexa: Column, first: int = 0) -> Column:
+def _like(value: Column, digest: Column, hexa: Column, first: Column) -> Column:
     """`value` with other digits and letters; `first` of them are kept. The nth has the same place in any writing."""
 
     def step(acc: Column, ch: Column) -> Column:
@@ -98,7 +100,7 @@ def _like(value: Column, digest: Column, hexa: Column, first: int = 0) -> Column
         new = new.when(lower.rlike("[a-z]"), F.when(hexa & lower.rlike("[a-f]"), _letter("0123456789abcdef", n)).otherwise(_letter(LETTERS["latin"], n)))
         new = new.when(lower.rlike(r"\p{IsCyrillic}"), _letter(LETTERS["cyrillic"], n)).when(lower.rlike(r"\p{IsGreek}"), _letter(LETTERS["greek"], n))
         new = new.when(lower.rlike(r"\p{L}"), _letter(LETTERS["latin"], n))
-        new = F.when(acc["i"] < first, ch).otherwise(F.when(ch != lower, F.upper(new)).otherwise(new))
+        new = F.when(new.isNotNull() & (acc["i"] < first), ch).when(ch != lower, F.upper(new)).otherwise(new)
         return F.struct(F.concat(acc["s"], F.coalesce(new, ch)).alias("s"), (acc["i"] + new.isNotNull().cast("int")).alias("i"))
 
     return F.aggregate(F.split(value, ""), F.struct(F.lit("").alias("s"), F.lit(0).alias("i")), step)["s"]
@@ -117,36 +119,47 @@ def _name(type_: Column, value: Column, digest: Column) -> Column:
     return out
 
 
-def surrogate(type_: Column, value: Column, attempt: Column, key: str) -> Column:
-    form = canonical(type_, value)
-    d = _digest(key, type_, form, attempt, "")
-    host = F.regexp_extract(form, "@(.*)$", 1)
-    domain = _digest(key, F.lit("domain"), host, F.lit(0), "")
-    octets = F.concat_ws(".", *[(_number(d, 5 * k) % 254 + 1).cast("string") for k in range(4)])
-    email = F.concat(_like(F.regexp_extract(value, "^([^@]*)@", 1), d, F.lit(False)), F.lit("@"), *[_letter(LETTERS["latin"], _number(domain, 3 * k)) for k in range(10)], F.lit(".example"))
-    title = F.regexp_extract(value, rf"^((?:{_MALE}|{_FEMALE})\.? )", 1)
-    person = F.concat(title, _name(type_, F.regexp_replace(value, rf"^(?:{_MALE}|{_FEMALE})\.? ", ""), d))
-    out = F.when(type_ == "email", F.when(value == F.upper(value), F.upper(email)).otherwise(email)).when(type_ == "ip", octets).when(type_.isin("man", "woman"), person)
-    out = out.when(type_ == "iban", _like(value, d, F.lit(False), 2)).when((type_ == "phone") & value.startswith("+"), _like(value, d, F.lit(False), 1))
-    return out.otherwise(_like(value, d, (type_ == "secret") & value.rlike("^[0-9a-fA-F]+$")))
+def entities(values: Column, key: str, attempt: Callable[[Column, Column], Column]) -> Column:
+    """For each entity a struct: v (as written), t (type), f (canonical form), s (surrogate), g (the surrogate's form).
+
+    One step after another, each over an array of structs, so that nothing is worked out twice.
+    """
+    title = rf"^(?:{_MALE}|{_FEMALE})\.? "
+    a = F.transform(values, lambda v: F.struct(v.alias("v"), kind(v).alias("t")))
+    a = F.transform(a, lambda x: F.struct(x["v"].alias("v"), x["t"].alias("t"), canonical(x["t"], x["v"]).alias("f")))
+    a = F.transform(a, lambda x: F.struct(x["v"].alias("v"), x["t"].alias("t"), x["f"].alias("f"), _digest(key, x["t"], x["f"], attempt(x["t"], x["f"]), "").alias("d"), _digest(key, F.lit("domain"), F.regexp_extract(x["f"], "@(.*)$", 1), F.lit(0), "").alias("m")))
+
+    def made(x: Column) -> Column:
+        v, t, d, m = x["v"], x["t"], x["d"], x["m"]
+        email = F.concat(_like(F.regexp_extract(v, "^([^@]*)@", 1), d, F.lit(False), F.lit(0)), F.lit("@"), *[_letter(LETTERS["latin"], _number(m, 3 * k)) for k in range(10)], F.lit(".example"))
+        octets = F.concat_ws(".", *[(_number(d, 5 * k) % 254 + 1).cast("string") for k in range(4)])
+        person = F.concat(F.regexp_extract(v, f"({title})", 1), _name(t, F.regexp_replace(v, title, ""), d))
+        first = F.when(t == "iban", 2).when((t == "phone") & v.startswith("+"), 1).otherwise(0)
+        other = _like(v, d, (t == "secret") & v.rlike("^[0-9a-fA-F]+$"), first)
+        return F.when(t == "email", F.when(v == F.upper(v), F.upper(email)).otherwise(email)).when(t == "ip", octets).when(t.isin("man", "woman"), person).otherwise(other)
+
+    a = F.transform(a, lambda x: F.struct(x["v"].alias("v"), x["t"].alias("t"), x["f"].alias("f"), made(x).alias("s")))
+    return F.transform(a, lambda x: F.struct(x["v"].alias("v"), x["t"].alias("t"), x["f"].alias("f"), x["s"].alias("s"), canonical(x["t"], x["s"]).alias("g")))
 
 
 def exceptions(docs: DataFrame, key: str, tries: int = 30) -> DataFrame | None:
     """(type, form, attempt) of the entities whose first surrogate is taken; None if there are none."""
     each = docs.filter(F.col("text").rlike(_HINT)).select(F.explode(F.array_distinct(found(F.col("text")))).alias("v"))
     # A value may be written in several ways; one of them stands for its form.
-    forms = each.withColumn("type", kind(F.col("v"))).withColumn("form", canonical(F.col("type"), F.col("v"))).groupBy("type", "form").agg(F.min("v").alias("v"))
-    forms = written(forms.withColumn("attempt", F.lit(0)), "entities")
+    forms = each.groupBy("v").agg(F.lit(0).alias("attempt")).withColumn("type", kind(F.col("v"))).withColumn("form", canonical(F.col("type"), F.col("v")))
+    forms = written(forms.groupBy("type", "form").agg(F.min("v").alias("v"), F.lit(0).alias("attempt")), "entities")
     for _ in range(tries):
-        now = forms.withColumn("s", canonical(F.col("type"), surrogate(F.col("type"), F.col("v"), F.col("attempt"), key)))
+        now = forms.select("type", "form", "v", "attempt", entities(F.array("v"), key, lambda t, f: F.col("attempt"))[0]["g"].alias("s"))
+        now = written(now, "surrogates")
+        # One that has kept its surrogate so far keeps it; a form of the corpus is nobody's surrogate.
         rank = F.row_number().over(Window.partitionBy("type", "s").orderBy("attempt", "form"))
-        real = forms.select(F.col("type").alias("_t"), F.col("form").alias("_f"))
+        real = now.select(F.col("type").alias("_t"), F.col("form").alias("_f"))
         clash = now.withColumn("_rank", rank).join(real, (F.col("type") == F.col("_t")) & (F.col("s") == F.col("_f")), "left")
         taken = (F.col("_rank") > 1) | F.col("_f").isNotNull()
-        forms = written(clash.select("type", "form", "v", (F.col("attempt") + taken.cast("int")).alias("attempt"), taken.alias("moved")), "entities")
-        if not forms.filter("moved").limit(1).count():
+        moved = written(clash.filter(taken).select("type", "form", "v", (F.col("attempt") + 1).alias("attempt")), "moved")
+        if not moved.limit(1).count():
             break
-        forms = forms.drop("moved")
+        forms = written(now.drop("s").join(moved.select("type", "form"), ["type", "form"], "left_anti").select("type", "form", "v", "attempt").unionByName(moved), "entities")
     else:
         raise ValueError(f"no distinct surrogates after {tries} attempts")
     again = forms.filter("attempt > 0").select("type", "form", "attempt")
@@ -165,11 +178,8 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
         tries = F.map_from_entries(F.coalesce("_again", F.array().cast("array<struct<k:string,attempt:int>>")))
     out = out.withColumn("_e", F.coalesce(found(F.col("text")), F.array().cast("array<string>")))
 
-    def new(v: Column) -> Column:
-        t = kind(v)
-        attempt = F.lit(0) if again is None else F.coalesce(F.try_element_at(tries, F.concat_ws("\x1f", t, canonical(t, v))), F.lit(0))
-        return surrogate(t, v, attempt, key)
-
+    attempt = (lambda t, f: F.lit(0)) if again is None else (lambda t, f: F.coalesce(F.try_element_at(tries, F.concat_ws("\x1f", t, f)), F.lit(0)))
     parts = F.split("text", _any(), -1)
-    text = F.when(F.size("_e") == 0, F.col("text")).otherwise(F.concat_ws("", F.flatten(F.zip_with(parts, F.transform("_e", new), lambda a, b: F.array(a, F.coalesce(b, F.lit("")))))))
+    pieces = F.zip_with(parts, entities(F.col("_e"), key, attempt), lambda a, b: F.array(a, F.coalesce(b["s"], F.lit(""))))
+    text = F.when(F.size("_e") == 0, F.col("text")).otherwise(F.concat_ws("", F.flatten(pieces)))
     return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in columns], F.size("_e").alias("n_entities"))
