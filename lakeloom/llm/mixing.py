@@ -34,7 +34,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, max_epoc
     """(source, source_size) -> the same and `target`. One row for each source.
 
     Sources ordered by cap / weight are clamped from the first on: with those before it clamped, the first whose
-    cap is not below its share of what is left fixes the level of all others.
+    cap is not below its share of what is left fixes the level of all others. The level rises up to there and falls
+    behind it, so it is the highest.
     """
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1).cast("int"))
     everything = Window.partitionBy()
@@ -43,7 +44,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, max_epoc
     df = sizes.withColumn("_w", w).withColumn("_cap", F.col("source_size") * float(max_epochs))
     df = df.withColumn("_budget", F.sum("source_size").over(everything) * float(share))
     df = df.withColumn("_level", (F.col("_budget") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(after))
-    df = df.withColumn("_level", F.min(F.when(F.col("_cap") / F.col("_w") >= F.col("_level"), F.col("_level"))).over(everything))
+    df = df.withColumn("_level", F.max(F.when(F.col("_cap") / F.col("_w") >= F.col("_level"), F.col("_level"))).over(everything))
     return df.select("source", "source_size", F.least("_cap", F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap"))).alias("target"))
 
 

@@ -89,7 +89,7 @@ l AS (
             / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM s),
 t AS (
-  SELECT source, source_size, least(cap, coalesce(min(CASE WHEN cap / w >= level THEN level END) OVER () * w, cap))::DOUBLE AS target FROM l),
+  SELECT source, source_size, least(cap, coalesce(max(CASE WHEN cap / w >= level THEN level END) OVER () * w, cap))::DOUBLE AS target FROM l),
 p AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 r AS (
