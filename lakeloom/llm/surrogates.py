@@ -24,7 +24,7 @@ from .common import small, written
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _MALE, _FEMALE = "Mr|Herr|Señor|Sr|Monsieur|Signor", "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Signora"
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z_-]{20,})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
@@ -35,7 +35,7 @@ PATTERNS = {
     "woman": rf"(?<!\p{{L}})(?:{_FEMALE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
 #: Any match has one of these; most texts have none and are not searched further.
-_HINT = rf"@|[0-9]{{3}}|[0-9]\.[0-9]|[0-9A-Fa-f]{{32}}|sk-|(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}"
+_HINT = rf"[0-9@]|(?=[FHMS])(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}|sk-[0-9A-Za-z_-]{{20}}|[A-Fa-f]{{32}}"
 # Names for surrogates by gender and script, and the letters of the scripts.
 GIVEN = {
     ("man", "latin"): "Adam Albert Bruno Carl Daniel Edgar Felix Georg Henry Ivan Jonas Karl Leo Martin Noel Oscar Paul Robert Simon Tomas Victor Walter".split(),
@@ -54,7 +54,9 @@ LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежз
 
 
 def _any() -> str:
-    return "|".join(f"(?:{p})" for p in PATTERNS.values())
+    """All patterns; what begins with a figure, and titles, aren't tried at other characters."""
+    first = {"iban": "[A-Z]", "ip": "[0-9]", "ssn": "[0-9]", "card": "[0-9]", "phone": "[0-9+(]", "man": "[HMS]", "woman": "[FMS]"}
+    return "|".join(f"(?={first[k]})(?:{p})" if k in first else f"(?:{p})" for k, p in PATTERNS.items())
 
 
 def found(text: Column) -> Column:
