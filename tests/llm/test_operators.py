@@ -1,0 +1,400 @@
+"""Each operator against brute force, on small tables with nulls, empty and long texts, ties, repeats and extra columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from lakeloom.llm import exact_dedup, front, html_extract, language, mixing, packing, simhash, substrings, surrogates, token_counts, topk
+from lakeloom.llm.common import tokenizer_path
+from lakeloom.llm.tokens import vocabulary
+
+WORDS = "the of and river stone water light glass paper cloud green round table chair window bridge garden music".split()
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, h string"
+
+
+def made(n=60, seed=1):
+    """doc_id, text, lang, source, n_chars, and columns whose names the operators use inside."""
+    r = random.Random(seed)
+    texts = [None, "", " \n\t", "word", "x" * 5000, " ".join(r.choice(WORDS) for _ in range(6000)), "é" * 120 + " ß", "A  b\nC", "a b c"]
+    passage = " ".join(r.choice(WORDS) for _ in range(60))
+    while len(texts) < n:
+        t = " ".join(r.choice(WORDS) + r.choice(("", ".", ",")) for _ in range(r.randint(1, 120)))
+        k = r.random()
+        if k < 0.25:
+            t = r.choice(texts[9:] or [t])
+        elif k < 0.4:
+            t = f"{t} {passage}"
+        elif k < 0.5:
+            t = passage + t[: len(t) // 2]
+        texts.append(t)
+    return [(i * 3, t, r.choice(["en", "de", None]), r.choice(["a", "a", "b", "é", None]), None if t is None else len(t), 7, "h") for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(made(), DOCS).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def waterfill(sizes, weights, share, cap):
+    left, free, out = share * sum(sizes.values()), set(sizes), {}
+    while free:
+        w = sum(weights[s] for s in free)
+        over = [s for s in free if left * weights[s] / w > cap * sizes[s]]
+        if not over:
+            return out | {s: left * weights[s] / w for s in free}
+        for s in over:
+            out[s] = cap * sizes[s]
+            left -= out[s]
+            free.remove(s)
+    return out
+
+
+def test_mixing(docs, none):
+    sizes = Counter()
+    for r in made():
+        sizes[r[3]] += len(words(r[1]))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    want = waterfill(sizes, weights, 1.5, 2)
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == 60 and {r["doc_id"]: r["size"] for r in rows} == {r[0]: len(words(r[1])) for r in made()}
+    taken = Counter()
+    for r in rows:
+        assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6 and r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+    assert sorted(rows) == sorted(mixing.mix(docs).collect())
+    out = mixing.repeated(docs)
+    assert out.columns == docs.columns
+    assert Counter(r["doc_id"] for r in out.collect()) == Counter({r["doc_id"]: r["repeats"] for r in rows if r["repeats"]})
+    assert mixing.mix(none).count() == 0 and mixing.repeated(none).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_targets(spark, seed):
+    r = random.Random(seed)
+    sizes = {f"s{k:02d}": r.choice([0, 1, 10, 100, 1000, 5000]) for k in range(r.randint(1, 9))}
+    weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sizes))}
+    got = {x["source"]: x["target"] for x in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), (5.0, 2.0, 1.0), 1.5, 2.0).collect()}
+    want = waterfill(sizes, weights, 1.5, 2)
+    assert got == pytest.approx(want)
+
+
+def test_packing(docs, none):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    want = {}
+    for r in made():
+        ids = t.encode(r[1] or "", add_special_tokens=False).ids + [0]
+        first = (len(ids) - 1) % 2048 + 1
+        at = [0, *range(first, len(ids) + 1, 2048)]
+        for k, (s, e) in enumerate(zip(at, at[1:], strict=False)):
+            want[r[0], k] = (s, e - s, zlib.crc32(np.array(ids[s:e], "<u4").tobytes()))
+    rows = packing.pack(docs).collect()
+    assert {(r[0], r[1]): tuple(r[2:5]) for r in rows} == want
+    places = defaultdict(list)
+    for r in rows:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in map(sorted, places.values()):
+        assert [a for a, _ in own] == list(np.cumsum([0] + [n for _, n in own])[:-1]) and sum(n for _, n in own) <= 2048
+    assert packing.pack(none).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plans_hold_the_histogram(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.minimum(2048, rng.lognormal((4, 5, 6, 6.5, 5, 7)[seed], 1, 20_000).astype(int) + 1)
+    counts = np.bincount(lengths, minlength=2049)
+    kinds = packing.plan(counts, 2048)
+    used = np.zeros(2049, int)
+    for times, inside in kinds:
+        assert sum(inside) <= 2048
+        np.add.at(used, list(inside), times)
+    assert (used == counts).all()
+    least = max(-(-int(lengths.sum()) // 2048), int(counts[1025:].sum()))
+    assert sum(t for t, _ in kinds) <= 1.03 * least + 2
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_token_trees(seed):
+    r = random.Random(seed)
+    v = vocabulary(tokenizer_path("byte_bpe_50k.json"))
+    v.tokenizer.encode_special_tokens = True
+    parts = ["a", " ", "  ", "\n", "'", "'s", "'re", "don't", "é", "12", "!", "\t", "<|endoftext|>", "x²", "日本", "_", " word"]
+    for _ in range(60):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 400)))
+        tree = token_counts.TokenTree(text, v, *v.split([text])[0])
+        for _ in range(4):
+            i = r.randint(0, len(tree.text))
+            j = min(len(tree.text), i + r.choice((0, 1, 3, 60)))
+            tree.edit(i, j, "".join(r.choice(parts) for _ in range(r.randint(0, 5))))
+            assert tree.total == len(v.tokenizer.encode(tree.text).ids)
+    v.tokenizer.encode_special_tokens = False
+
+
+def test_edited_counts(spark, docs, none):
+    edits = spark.createDataFrame([(9, 0, 2, "new words"), (15, 30, 40, None), (15, 35, 36, "skipped"), (15, 5000, 5010, " x "), (0, 0, 1, "outside"), (999, 0, 0, "nobody")], "doc_id long, start int, end int, replacement string")
+    out = {r["doc_id"]: r for r in token_counts.count_edited(docs, edits).collect()}
+    v = vocabulary(tokenizer_path("byte_bpe_50k.json"))
+    size = lambda t: int(v.split([t])[0][1].sum())
+    for r in made():
+        t = r[1] or ""
+        assert out[r[0]]["n_tokens"] == size(t)
+    t = made()[5][1]
+    t = t[:5000] + " x " + t[5010:]
+    t = t[:35] + "skipped" + t[36:]
+    assert (out[15]["n_edits"], out[15]["n_tokens_edited"], out[15]["n_chars_edited"]) == (2, size(t), len(t))
+    assert out[15]["n_chars_encoded"] < 2000 and out[0]["n_edits"] == 0 and out[9]["n_chars_edited"] == len("new wordsrd")
+    assert token_counts.count_edited(none, edits).count() == 0
+
+
+def without_repeats(texts, length):
+    seen, out = set(), {}
+    for d, t in sorted(texts.items()):
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - length + 1):
+            s = b[p : p + length]
+            if s in seen:
+                gone[p : p + length] = True
+            seen.add(s)
+        out[d] = (bytes(np.frombuffer(b, np.uint8)[~gone]), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()))
+    return out
+
+
+def test_substrings(docs, none, monkeypatch):
+    want = without_repeats({r[0]: r[1] for r in made()}, 100)
+    got = {r["doc_id"]: (bytes(r["text"]), r["n_removed"], r["n_spans"]) for r in substrings.removed(docs).collect()}
+    assert got == want
+    assert {r["doc_id"]: r["kept_sha256"] for r in substrings.removed(docs, with_text=False).collect()} == {d: hashlib.sha256(w[0]).hexdigest() for d, w in want.items()}
+    assert substrings.removed(none).count() == 0
+
+
+def test_loser_tree():
+    r = random.Random(3)
+    runs = [sorted("".join(r.choice("ab") for _ in range(12)).encode() for _ in range(r.randint(0, 40))) for _ in range(7)]
+
+    def coded(run):
+        if not run:
+            return iter(())
+        lcp, rest = front.encode(np.frombuffer(b"".join(run), np.uint8).reshape(-1, 12))
+        return ((n, t, ()) for n, t in front.decode(lcp.tobytes(), rest, 12))
+
+    out = list(front.merge([coded(x) for x in runs]))
+    assert [t for _, t, _ in out] == sorted(sum(runs, []))
+    for (_, a, _), (n, b, _) in zip(out, out[1:], strict=False):
+        assert n == front.shared(a, b)
+
+
+def test_html_extraction(spark):
+    model = html_extract.trained()
+    pages = list(html_extract.training_pages(200, 77))
+    got = html_extract.main_texts([s for s, _ in pages], model)
+    assert sum(g == "\n".join(b) for g, (_, b) in zip(got, pages, strict=True)) >= 160
+    mine = [
+        (1, "u", "<html><body><nav><a href=/>Home</a></nav><article><h1>A &amp; B</h1><p>First   line\nof text, with more words.</p><p>Second <b>bold</b> one.</p></article><footer>&copy; us</footer></body></html>"),
+        (2, "u", None),
+        (3, None, ""),
+        (3, None, "<article><p>" + "long text. " * 50_000 + "</p></article>"),
+    ]
+    out = html_extract.extract(spark.createDataFrame(mine, "page_id long, url string, html string")).collect()
+    assert out[0]["text"] == "A & B\nFirst line of text, with more words.\nSecond bold one." and out[0]["n_chars"] == len(out[0]["text"])
+    assert [r["text"] for r in out[1:3]] == ["", ""] and out[3]["n_chars"] == 11 * 50_000 - 1
+
+
+def brute_components(texts, shingle=3, bits=3):
+    import xxhash
+
+    ids, fps = [], []
+    for d, t in texts:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        w = words(low)
+        sh = [" ".join(w[i : i + shingle]) for i in range(len(w) - shingle + 1)] or ([" ".join(w)] if w else [])
+        hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+        ids.append(d)
+        fps.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else 0)
+    near = [[j for j in range(len(fps)) if bin(fps[i] ^ fps[j]).count("1") <= bits] for i in range(len(fps))]
+    root = {}
+    for i in range(len(fps)):
+        todo, seen = [i], {i}
+        while todo:
+            for j in near[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        root[ids[i]] = (fps[i], min(ids[j] for j in seen))
+    return root
+
+
+def test_simhash(docs, none):
+    want = brute_components([(r[0], r[1]) for r in made()])
+    got = {r["doc_id"]: (r["fp"] % 2**64, r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
+    assert got == want
+    assert sorted(r["doc_id"] for r in simhash.deduplicated(docs).collect()) == sorted({c for _, c in want.values()})
+    assert simhash.near_duplicates(none).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [4096, 4])
+def test_trie_join_connects_what_is_near(spark, monkeypatch, bucket):
+    """Also where buckets are dealt out again, down to the last bits."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    r = random.Random(5)
+    fps = {r.getrandbits(64) for _ in range(20)}
+    for f in list(fps)[:8]:
+        fps |= {f ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for _ in range(6)}
+    fps |= {1 << k for k in range(20)} | {0}
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    links = [(x["a"], x["b"]) for x in simhash.near_links(spark.createDataFrame([(f,) for f in signed], "fp long"), 3).collect()]
+    assert all(bin((a ^ b) % 2**64).count("1") <= 3 for a, b in links)
+
+    def groups(pairs):
+        own = {f: f for f in signed}
+
+        def top(x):
+            while own[x] != x:
+                x = own[x]
+            return x
+
+        for a, b in pairs:
+            own[top(a)] = top(b)
+        out = defaultdict(set)
+        for f in signed:
+            out[top(f)].add(f)
+        return sorted(map(sorted, out.values()))
+
+    assert groups(links) == groups([(a, b) for a in signed for b in signed if bin((a ^ b) % 2**64).count("1") <= 3])
+
+
+def test_components_of_chains_and_stars(spark):
+    chain = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 130)] + [(5, 5)]
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(1, 41)} | {k: 100 for k in range(101, 130)}
+
+
+def test_exact_dedup(docs, none, spark):
+    groups = defaultdict(list)
+    for r in made():
+        groups[re.sub(r"[\x20\x09-\x0D]", "", r[1] or "")].append((-len(r[1] or ""), r[0]))
+    want = {d: (min(g)[1], len(g), d == min(g)[1], hashlib.sha256(k.encode()).hexdigest()) for k, g in groups.items() for _, d in g}
+    for strong in (False, True):
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact_dedup.decide(docs, strong).collect()}
+        assert got == want
+    assert sorted(r["doc_id"] for r in exact_dedup.deduplicated(docs).collect()) == sorted(d for d, w in want.items() if w[2])
+    assert exact_dedup.decide(none).count() == 0
+    twice = exact_dedup.decide(docs.unionByName(docs))
+    assert twice.count() == 120 and twice.filter("kept").count() == len(groups)
+    assert exact_dedup.deduplicated(docs.unionByName(docs)).count() == len(groups)
+
+
+def test_dedup_state_goes_on(spark):
+    state = exact_dedup.Deduplicator(spark)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    state.add(frame([(5, "a b"), (6, "c")]))
+    state.add(frame([(1, "ab"), (2, "a  b"), (9, "d")]))
+    assert sorted((r["keep_id"], r["group_size"]) for r in state.groups().collect()) == [(2, 3), (6, 1), (9, 1)]
+
+
+def test_language(spark, none):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = spark.createDataFrame([(10**6, None, "en", None, 0), (10**6 + 1, "123 !!", "en", "x", 6), (10**6 + 2, "", None, "x", 0)], docs.schema)
+    out = language.identify(docs.unionByName(odd)).collect()
+    truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for r in out)
+    held = [r for r in out if r["held_out"] and r["doc_id"] in truth]
+    assert sum(truth[r["doc_id"]] == r["lang_pred"] for r in held) >= 0.98 * len(held)
+    assert [(r["lang_pred"], r["score"]) for r in out if r["doc_id"] >= 10**6] == [("und", 0.0)] * 3
+    assert language.identify(none).count() == 0 and language.accepted(none).count() == 0
+    assert {r["lang_pred"] for r in language.identify(odd).collect()} == {"und"}
+    assert language.accepted(docs.unionByName(odd)).filter("doc_id >= 1000000").count() == 0
+
+
+def test_surrogates(spark, none):
+    text = "Write to bob.smith@mail.example.com or BOB.SMITH@MAIL.EXAMPLE.COM from 10.20.30.40, card 4111 1111 1111 1111 (4111111111111111), call +1 (017) 555-7713. Mrs. Anna Berg met Mr Otto Berg; key 0123456789abcdef0123456789abcdef."
+    rows = [(1, text, 5), (2, "again bob.smith@mail.example.com", 5), (3, None, 5), (4, "nothing here, version 1.2 of 2024", 5), (5, "", 5), (5, "", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, type int")
+    out = {r["doc_id"]: r for r in surrogates.replace(df, "key").collect()}
+    new = out[1]["text"]
+    for old in ("bob.smith@mail", "BOB.SMITH", "10.20.30.40", "4111 1111", "4111111", "555-7713", "Anna", "Otto", "0123456789abcdef"):
+        assert old not in new
+    mail = re.search(r"\w+\.\w+@\w+\.example", new)[0]
+    assert mail in out[2]["text"] and mail.upper() in new
+    a, b = re.search(r"card ([\d ]{19}) \((\d{16})\)", new).groups()
+    assert a.replace(" ", "") == b and re.search(r"call \+1 \(\d{3}\) \d{3}-\d{4}\.", new)
+    woman, man = re.search(r"Mrs\. (\w+) \w+ met Mr (\w+) ", new).groups()
+    assert woman in surrogates.GIVEN["woman", "latin"] and man in surrogates.GIVEN["man", "latin"]
+    assert out[3]["text"] is None and out[4]["text"] == rows[3][1] and out[4]["n_entities"] == 0 and out[1]["type"] == 5
+    assert surrogates.replace(none, "k").count() == 0
+
+
+def test_surrogates_stay_distinct(spark, monkeypatch):
+    """With so little room that many collide at first."""
+    monkeypatch.setattr(surrogates, "_number", lambda d, at: F.conv(F.substring(d, (F.lit(at) if isinstance(at, int) else at) % 125 + 1, F.lit(4)), 16, 10).cast("int") % 3)
+    rows = [(k, f"from 10.0.{k}.1 and 10.0.0.1") for k in range(30)]
+    out = surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()
+    pairs = {r["doc_id"]: re.findall(r"[\d.]+", r["text"]) for r in out}
+    firsts = {p[0] for p in pairs.values()}
+    assert len(firsts) == 30 and len({p[1] for p in pairs.values()}) == 1
+    assert not firsts & {f"10.0.{k}.1" for k in range(30)}
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in rng.normal(size=8).round(2)], 0) for k in range(150)] + [(200 + k, [0.5] * 8, 0) for k in range(60)]
+    rows += [(400, None, 0), (420, [1.0, None], 0), (440, [float("nan")] * 8, 0), (460, [float("inf")] * 8, 0), (480, [], 0), (500, [1.0, 2.0], 0), (501, [3.0, 1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5)
+    sound = [(i, np.floor(64 * np.array(v))) for i, v, _ in rows if v and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for q, x in sound:
+        if q % 20 == 0:
+            scored = sorted((-int(x @ y), c) for c, y in sound if c != q and len(y) == len(x))[:20]
+            want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(scored)]
+    for block, cells in ((1 << 22, 1 << 11), (16, 7)):
+        assert sorted(map(tuple, topk.top_k(df, block=block, cells=cells).collect())) == sorted(want)
+    assert topk.top_k(df.limit(0)).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    seen = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, seen[-1], d)
+        out.write.parquet(str(tmp_path / name))
+        seen.append(spark.read.parquet(str(tmp_path / name)))
+    raw, lang, exact, near, mixed, packed = ([tuple(r) for r in x.collect()] for x in seen)
+    assert all(x.columns == docs.columns for x in seen[:-1])
+    assert {r[0] for r in raw} - {r[0] for r in lang} <= {r[0] for r in raw if not any(map(str.isalpha, r[1] or ""))} | {r[0] for r in raw if len(r[1] or "") < 40}
+    groups = defaultdict(list)
+    for r in lang:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", r[1] or "")].append((-len(r[1] or ""), r[0]))
+    assert {r[0] for r in exact} == {min(g)[1] for g in groups.values()}
+    assert {r[0] for r in near} == {c for _, c in brute_components([(r[0], r[1]) for r in exact]).values()}
+    sizes = Counter()
+    for r in near:
+        sizes[r[3]] += len(words(r[1]))
+    want = waterfill(sizes, {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sizes))}, 1.5, 2)
+    taken, most = Counter(), defaultdict(int)
+    for r in mixed:
+        taken[r[3]] += len(words(r[1]))
+    for r in near:
+        most[r[3]] = max(most[r[3]], len(words(r[1])))
+    assert all(abs(taken[s] - want[s]) <= most[s] / 2 + 1 for s in sizes)
+    assert Counter(r[0] for r in packed if r[1] == 0) == Counter(r[0] for r in mixed)
+    assert corpus_pipeline.run(spark, d).count() == len(packed)
