@@ -13,12 +13,13 @@ shingle of all its words. Very long texts are hashed whole. Equal rows share a f
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, written
@@ -120,50 +121,49 @@ def trie_forest(bucket: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarr
     return e[:, 0], e[:, 1]
 
 
-def _block(fp: Column, free: list[tuple[int, int]], k: int) -> Column:
-    """The bits of `fp` in the ranges of block k, as a number."""
-    low, size = free[k]
-    return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << size) - 1))
+def _cut(open_: list[int], parts: int) -> list[list[int]]:
+    return [open_[len(open_) * k // parts : len(open_) * (k + 1) // parts] for k in range(parts)]
 
 
-def _split(low: int, size: int, parts: int) -> list[tuple[int, int]]:
-    at = [low + size * k // parts for k in range(parts + 1)]
-    return [(a, b - a) for a, b in zip(at, at[1:], strict=False)]
+def open_blocks(path: str, bits: int) -> list[list[int]]:
+    """The bits that a path of blocks ("2;0;" is block 0 of what block 2 left) leaves open, in bits + 1 blocks."""
+    left = list(range(64))
+    for k in path.split(";")[:-1]:
+        own = _cut(left, bits + 1)[int(k)]
+        left = [x for x in left if x not in own]
+    return _cut(left, bits + 1)
+
+
+def open_bits(level: int, bits: int) -> list[list[int]]:
+    """What paths of that length leave open at least and at most: always the first, always the last block."""
+    return [sum(open_blocks(f"{k};" * level, bits), []) for k in (0, bits)]
 
 
 def near_links(distinct: DataFrame, bits: int = 3) -> DataFrame:
     """(a, b) fingerprints, a forest that connects all of `distinct` within `bits` of each other. `distinct`: column fp, each once."""
-    groups = bits + 1
-    blocks = _split(0, 64, groups)
-    rows = distinct.select("fp", F.posexplode(F.array(*[_block(F.col("fp"), blocks, k) for k in range(groups)])).alias("_k", "_v"))
-    rows = rows.withColumn("key", F.concat_ws("/", F.col("_k").cast("string"), F.col("_v").cast("string"))).select("fp", "key")
-    spare = {str(k): [b for i, b in enumerate(blocks) if i != k] for k in range(groups)}
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each fingerprint of a bucket goes to one bucket for each block of the bits that the key leaves open."""
+        blocks: dict[str, list[list[int]]] = {}
+        for b in batches:
+            out: list[tuple[int, str]] = []
+            for fp, key in zip(b["fp"].tolist(), b["key"], strict=True):
+                path = re.sub(r"/\d+", "", key)
+                own = blocks.get(path) or blocks.setdefault(path, open_blocks(path, bits))
+                out += [(fp, f"{key}{k}/{sum((fp >> x & 1) << i for i, x in enumerate(block))};") for k, block in enumerate(own)]
+            yield pd.DataFrame(out, columns=["fp", "key"])
+
+    rows = distinct.select("fp", F.lit("").alias("key")).mapInPandas(deal, "fp long, key string")
     done: list[DataFrame] = []
-    while True:
-        # Buckets that are still large: each of their fingerprints goes to one bucket for each block of the other bits.
+    for level in range(1, 64):
+        # Buckets that are still large are dealt out again, while more bits are open than may differ.
         full = written(rows.groupBy("key").count().filter(F.col("count") > BUCKET).select(F.col("key").alias("_key")), "full")
-        if not full.limit(1).count() or not spare:
+        last = min((len(x) for x in open_bits(level, bits)), default=0) <= bits
+        if last or not full.limit(1).count():
             done.append(rows)
             break
         rows = written(rows, "dealt")
         done.append(rows.join(small(full), F.col("key") == F.col("_key"), "left_anti"))
-        rows = rows.join(small(full), F.col("key") == F.col("_key")).drop("_key")
-        head = F.regexp_extract("key", r"^((?:\d+/\d+;)*\d+)/\d+$", 1)
-        path = F.regexp_replace(head, r"/\d+", "")
-        deeper, choice = {}, None
-        for name, left in spare.items():
-            total = sum(size for _, size in left)
-            if total <= bits:
-                continue
-            parts = _deal(left, groups)
-            made = F.array(*[F.concat(F.lit(f";{k}/"), F.concat_ws("-", *[_block(F.col("fp"), [r], 0).cast("string") for r in part])) for k, part in enumerate(parts)])
-            choice = F.when(path == name, made) if choice is None else choice.when(path == name, made)
-            deeper |= {f"{name};{k}": [r for i, part in enumerate(parts) if i != k for r in part] for k in range(groups)}
-        if choice is None:
-            done.append(rows)
-            break
-        rows = rows.withColumn("_more", F.explode(choice)).select("fp", F.concat("key", "_more").alias("key"))
-        spare = deeper
+        rows = rows.join(small(full), F.col("key") == F.col("_key")).select("fp", "key").mapInPandas(deal, "fp long, key string")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -193,22 +193,6 @@ def near_links(distinct: DataFrame, bits: int = 3) -> DataFrame:
     return out.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long")
 
 
-def _deal(ranges: list[tuple[int, int]], parts: int) -> list[list[tuple[int, int]]]:
-    """The bits of `ranges` in `parts` blocks of about equal size."""
-    bits = [low + i for low, size in ranges for i in range(size)]
-    out = []
-    for k in range(parts):
-        own = bits[len(bits) * k // parts : len(bits) * (k + 1) // parts]
-        runs: list[tuple[int, int]] = []
-        for x in own:
-            if runs and runs[-1][0] + runs[-1][1] == x:
-                runs[-1] = (runs[-1][0], runs[-1][1] + 1)
-            else:
-                runs.append((x, 1))
-        out.append(runs)
-    return out
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of each linked node, root the smallest of its component, by alternating large and small stars.
 
