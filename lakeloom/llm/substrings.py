@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from . import front
 from .common import written
 
-#: Bytes of an anchor.
-K = 24
+#: Bytes of an anchor: enough that texts seldom share them by chance.
+K = 50
 #: Bytes of text that a task combines before it passes anchors on, and bytes whose hashes are held at once.
-BATCH, PIECE = 1 << 25, 1 << 21
+BATCH, PIECE = 1 << 24, 1 << 19
 #: Suffixes that one partition merges, about.
 MERGED = 100_000
 _U = np.uint64
@@ -152,7 +152,19 @@ def _firsts(rows: dict[str, np.ndarray], order: np.ndarray) -> np.ndarray:
     return (doc == doc[start]) & (at == at[start])
 
 
-_ROW = "h long, c long, doc_id long, at int, first int, last int"
+#: place: the anchor's place << 16 | windows before it << 8 | windows less one; or -1 for a run of removed bytes [c, h).
+_ROW = "h long, c long, doc_id long, place long"
+
+
+def _placed(at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return at.astype(np.int64) << 16 | (at - first).astype(np.int64) << 8 | (last - first).astype(np.int64)
+
+
+def _spread(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """at, first, last."""
+    at = place >> 16
+    first = at - (place >> 8 & 255)
+    return at, first, first + (place & 255)
 
 
 def _union(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> pd.DataFrame:
@@ -170,8 +182,8 @@ def _union(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> pd.DataFrame:
 
 
 def _removed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Runs of removed bytes in the form of anchor rows: at is -1; [first, last) are bytes."""
-    return pdf.assign(h=_mixed(pdf["doc_id"].to_numpy().astype(np.int64).astype(_U)).astype(np.int64), c=0, at=-1)[["h", "c", "doc_id", "at", "first", "last"]].astype({"at": "int32", "first": "int32", "last": "int32"})
+    """Runs of removed bytes in the form of anchor rows."""
+    return pd.DataFrame({"h": pdf["last"], "c": pdf["first"], "doc_id": pdf["doc_id"], "place": -1}).astype("int64")
 
 
 def anchors(docs: DataFrame, length: int) -> DataFrame:
@@ -189,7 +201,7 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
             first = _firsts(r, order)
             own, again = order[first], order[~first]
             yield _removed(_union(ids[r["doc"][again]], r["first"][again], r["last"][again] + length))
-            yield pd.DataFrame({"h": r["h"][own].astype(np.int64), "c": r["c"][own].astype(np.int64), "doc_id": ids[r["doc"][own]], "at": r["at"][own].astype(np.int32), "first": r["first"][own].astype(np.int32), "last": r["last"][own].astype(np.int32)})
+            yield pd.DataFrame({"h": r["h"][own].astype(np.int64), "c": r["c"][own].astype(np.int64), "doc_id": ids[r["doc"][own]], "place": _placed(r["at"][own], r["first"][own], r["last"][own])})
 
         size = 0
         for b in batches:
@@ -207,20 +219,21 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
 
 
 def shared_anchors(rows: DataFrame, length: int) -> DataFrame:
-    """Of `anchors`: runs that repeat (at = -1), and anchors whose K bytes have other surroundings elsewhere."""
+    """Of `anchors`: runs that repeat (place -1), and anchors whose K bytes have other surroundings elsewhere."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Sorted by h, c, document, place: what a row is depends on its neighbours; the last run waits for the next batch.
         before: tuple | None = None  # h, c, document and place of the first row of the last surroundings; whether they are of a shared h
         wait: pd.DataFrame | None = None
         for b in batches:
-            yield b[b["at"] < 0]
-            b = b[b["at"] >= 0].reset_index(drop=True)
+            yield b[b["place"] < 0]
+            b = b[b["place"] >= 0].reset_index(drop=True)
             if wait is not None:
                 b = pd.concat([wait, b], ignore_index=True)
             if not len(b):
                 continue
-            h, c, doc, at = (b[k].to_numpy() for k in ("h", "c", "doc_id", "at"))
+            h, c, doc, place = (b[k].to_numpy() for k in ("h", "c", "doc_id", "place"))
+            at, low, high = _spread(place)
             new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
             start = np.flatnonzero(new)[np.cumsum(new) - 1]
             first = (doc == doc[start]) & (at == at[start])
@@ -237,15 +250,16 @@ def shared_anchors(rows: DataFrame, length: int) -> DataFrame:
             done[tail:] = False
             yield b[done]
             gone = ~first
-            yield _removed(_union(doc[gone], b["first"].to_numpy()[gone].astype(np.int64), b["last"].to_numpy()[gone].astype(np.int64) + length))
+            yield _removed(_union(doc[gone], low[gone], high[gone] + length))
             wait = b[first & (np.arange(len(b)) >= tail)]
             before = (h[tail],) if other[tail] else None
             # Rows that wait come first in the next batch; whether their h was shared is kept in `before`.
         if wait is not None and before is not None:
             yield wait
 
-    keys = ["h", "c", "doc_id", "at"]
-    return rows.repartition("h").sortWithinPartitions(*keys).mapInPandas(run, _ROW)
+    keys = ["h", "c", "doc_id", "place"]
+    # Removed runs go with their document, anchors with their bytes.
+    return rows.repartition(F.when(F.col("place") < 0, F.col("doc_id")).otherwise(F.col("h"))).sortWithinPartitions(*keys).mapInPandas(run, _ROW)
 
 
 def suffix_runs(docs: DataFrame, contested: DataFrame, length: int, partitions: int) -> DataFrame:
@@ -293,7 +307,7 @@ def suffix_runs(docs: DataFrame, contested: DataFrame, length: int, partitions:
                 held.append(np.lib.stride_tricks.sliding_window_view(np.frombuffer(t, np.uint8), length)[p])
                 ids.append(np.full(p.size, int(d))), places.append(p)
                 count += p.size
-                if count * length >= BATCH * 2:
+                if count * length >= BATCH:
                     yield from settle(f"{task}-{serial}")
                     serial, count = serial + 1, 0
         if held:
@@ -328,8 +342,9 @@ def merged(runs: DataFrame, length: int) -> DataFrame:
 def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc_id, first, last: runs of bytes, which may overlap, that repeat what starts earlier."""
     rows = written(shared_anchors(anchors(docs, length), length), "anchors")
-    contested = rows.filter("at >= 0").select("doc_id", "first", "last")
-    sure = rows.filter("at < 0").select("doc_id", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
+    first = F.shiftright("place", 16) - F.shiftright("place", 8).bitwiseAND(F.lit(255))
+    contested = rows.filter("place >= 0").select("doc_id", first.alias("first"), (first + F.col("place").bitwiseAND(F.lit(255))).alias("last"))
+    sure = rows.filter("place < 0").select("doc_id", F.col("c").alias("first"), F.col("h").alias("last"))
     n = contested.agg(F.sum(F.col("last") - F.col("first") + 1)).first()[0] or 0
     if not n:
         return sure
