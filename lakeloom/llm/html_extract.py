@@ -200,7 +200,7 @@ def training_pages(n: int, seed: int) -> Iterator[tuple[str, list[str]]]:
             w = [rng.choice(w)] * len(w)
         elif kind < 0.12:
             w = [x + rng.choice(("***", "###", "!!", " |")) for x in w]
-        out = (" ".join(w) + f" x{serial}" + stop).capitalize()
+        out = (" ".join(w) + (f" x{serial}" if rng.random() < 0.6 else "") + stop).capitalize()
         return out.upper() if kind > 0.96 else out
 
     def attr(kind: str, sure: float = 0.9) -> str:
@@ -254,9 +254,9 @@ def training_pages(n: int, seed: int) -> Iterator[tuple[str, list[str]]]:
 
         body = []
         if rng.random() < 0.8:
-            body.append(put(rng.choice(("h1", "h1", "h2")), line(2, 12, rng.choice(("", ".")))))
+            body.append(put(rng.choice(("h1", "h1", "h2")), line(*rng.choice(((1, 2), (2, 12), (2, 12))), rng.choice(("", ".")))))
         for _ in range(rng.choice((1, 1, 2, 4, 8, 15))):
-            body.append(put("p", line(*rng.choice(((1, 3), (3, 12), (20, 80), (60, 200))))))
+            body.append(put("p", line(*rng.choice(((1, 3), (1, 12), (20, 80), (60, 200))), rng.choice((".", ".", ".", "", " |")))))
             r = rng.random()
             if r < 0.06:
                 body.append(put("h2", line(1, 6, "")))
