@@ -55,7 +55,7 @@ class Deduplicator:
     def add(self, docs: DataFrame) -> None:
         digests(docs, self.strong).write.mode("append").parquet(f"{self.home}/rows")
         spark, conf = self.spark, self.spark.conf
-        keys = {"spark.sql.streaming.stateStore.providerClass": _ROCKS, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+        keys = {"spark.sql.streaming.stateStore.providerClass": _ROCKS, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}  # many small stores: no room set aside for each
         before = {k: conf.get(k, None) for k in keys}
         for k, v in keys.items():
             conf.set(k, v)
