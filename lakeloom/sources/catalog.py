@@ -85,13 +85,13 @@ class Catalog:
         elif data_path and self.option("data_path") != data_path:
             raise InvalidConfiguration(f"the lake's data path is {self.option('data_path')}, not {data_path}")
 
-    def rows(self, sql: str, **args: object) -> list[sqlite3.Row]:
+    def rows(self, sql: str, /, **args: object) -> list[sqlite3.Row]:
         return self.db.execute(sql, args).fetchall()
 
-    def one(self, sql: str, **args: object) -> sqlite3.Row | None:
+    def one(self, sql: str, /, **args: object) -> sqlite3.Row | None:
         return self.db.execute(sql, args).fetchone()
 
-    def run(self, sql: str, **args: object) -> None:
+    def run(self, sql: str, /, **args: object) -> None:
         self.db.execute(sql, args)
 
     def many(self, sql: str, rows: Iterable[tuple]) -> None:
