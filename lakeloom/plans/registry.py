@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import transforms
+from ..shipping import ship
 from ..sources.lake import Lake
 from . import hosted
 
@@ -25,6 +26,7 @@ _SQL: dict[str, str] = {}
 
 
 def _raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
