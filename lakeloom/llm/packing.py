@@ -23,19 +23,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import tokenizer_path, written
-from .tokens import encoder
+from .tokens import vocabulary
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, room: int = 2048, tokenizer: str | None = None, end: int = 0) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(tokenizer or tokenizer_path("byte_bpe_50k.json"))
+        words = vocabulary(tokenizer or tokenizer_path("byte_bpe_50k.json"))
         tail = int(end).to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = enc.encode(text or "") + tail
+            for doc, found in zip(batch["doc_id"], words.encode([t or "" for t in batch["text"]]), strict=True):
+                ids = found.astype("<u4").tobytes() + tail
                 n = len(ids) >> 2
                 first = (n - 1) % room + 1
                 at = [0, *range(first, n + 1, room)]

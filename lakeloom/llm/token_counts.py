@@ -16,57 +16,34 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import tokenizer_path
-from .tokens import PieceEncoder, encoder
+from .tokens import Vocabulary, vocabulary
 
 #: Pre-tokens of a leaf when a tree is built.
 LEAF = 32
 
 
-class Pieces:
-    """Pre-tokens of any text, and their token counts."""
-
-    def __init__(self, path: str):
-        import public_tokenizers
-        import regex
-
-        self.encoder: PieceEncoder = encoder(path)
-        self.any = regex.compile(public_tokenizers.PATTERN)
-        self.own: dict[str, int] = {}
-
-    def split(self, text: str) -> list[str]:
-        return self.encoder.pieces(text) if self.encoder.plain(text) else self.any.findall(text)
-
-    def first(self, text: str, at: int, plain: bool) -> str:
-        from .tokens import _PIECE
-
-        return (_PIECE if plain else self.any).match(text, at)[0]
-
-    def counts(self, pieces: list[str]) -> list[int]:
-        return self.encoder.counts(pieces)
-
-
 class TokenTree:
     """Sums of characters and tokens over leaves of pre-tokens; node k has the children 2k and 2k + 1."""
 
-    def __init__(self, text: str, pieces: Pieces):
-        self.pieces, self.text = pieces, text
-        found = pieces.split(text)
-        counts = pieces.counts(found)
-        self.lens = [list(map(len, found[i : i + LEAF])) for i in range(0, len(found), LEAF)] or [[]]
-        self.toks = [counts[i : i + LEAF] for i in range(0, len(found), LEAF)] or [[]]
+    def __init__(self, text: str, words: Vocabulary, lens: np.ndarray, toks: np.ndarray):
+        self.words, self.text = words, text
+        at = np.arange(0, lens.size, LEAF)
+        self.lens: list = [lens[i : i + LEAF] for i in at] or [[]]
+        self.toks: list = [toks[i : i + LEAF] for i in at] or [[]]
+        sums = [np.add.reduceat(x, at).tolist() if at.size else [0] for x in (lens, toks)]
         self.n = 1
         while self.n < len(self.lens):
             self.n *= 2
         pad = self.n - len(self.lens)
         self.lens += [[] for _ in range(pad)]
         self.toks += [[] for _ in range(pad)]
-        self.chars = [0] * self.n + [sum(x) for x in self.lens]
-        self.tokens = [0] * self.n + [sum(x) for x in self.toks]
+        self.chars, self.tokens = ([0] * self.n + x + [0] * pad for x in sums)
         for k in range(self.n - 1, 0, -1):
             self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
             self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
@@ -87,7 +64,7 @@ class TokenTree:
         return k - self.n, start
 
     def _set(self, leaf: int, lens: list[int], toks: list[int]) -> None:
-        self.lens[leaf], self.toks[leaf] = lens, toks
+        self.lens[leaf], self.toks[leaf] = lens, toks  # lists from here on
         k = leaf + self.n
         self.chars[k], self.tokens[k] = sum(lens), sum(toks)
         while k > 1:
@@ -108,35 +85,46 @@ class TokenTree:
             at += self.lens[leaf][i]
             i += 1
         head = i
-        # Old beginnings of pre-tokens from here on, leaf by leaf.
+        # Old beginnings of pre-tokens from here on, leaf by leaf; the new ones come in windows of growing size.
         last, j, old_at = leaf, i, at
-        plain = self.pieces.encoder.plain(self.text[max(0, at) : at + 4096]) if len(self.text) < 4096 else self.pieces.encoder.plain(self.text)
-        made: list[str] = []
-        now = at
-        while True:
-            while old_at < end or old_at + shift < now:
-                while last < self.n - 1 and j >= len(self.lens[last]):
-                    last, j = last + 1, 0
-                if j >= len(self.lens[last]):
+        made_lens: list[int] = []
+        made_toks: list[int] = []
+        now, size = at, end + shift - at + 64
+        done = now >= len(self.text)
+        while not done:
+            window = self.text[now : now + size]
+            whole = now + size >= len(self.text)
+            lens, toks = self.words.split([window])[0]
+            self.encoded += len(window)
+            k = 0
+            # The last pre-tokens of a window may go on behind it.
+            stop = len(lens) if whole else int(np.searchsorted(np.cumsum(lens), len(window) - 2, "right"))
+            while k < stop:
+                while old_at < end or old_at + shift < now:
+                    while last < self.n - 1 and j >= len(self.lens[last]):
+                        last, j = last + 1, 0
+                    if j >= len(self.lens[last]):
+                        break
+                    old_at += int(self.lens[last][j])
+                    j += 1
+                if old_at >= end and old_at + shift == now:
                     break
-                old_at += self.lens[last][j]
-                j += 1
-            if old_at >= end and old_at + shift == now or now >= len(self.text):
-                break
-            piece = self.pieces.first(self.text, now, plain)
-            made.append(piece)
-            now += len(piece)
+                made_lens.append(int(lens[k])), made_toks.append(int(toks[k]))
+                now += int(lens[k])
+                k += 1
+            done = k < stop or now >= len(self.text)
+            if not stop:
+                size *= 4
         if now >= len(self.text):
             last, j = self.n - 1, len(self.lens[self.n - 1])
-        self.encoded += sum(map(len, made))
-        counts = self.pieces.counts(made)
-        tail = self.lens[last][j:], self.toks[last][j:]
+        tail = list(self.lens[last][j:]), list(self.toks[last][j:])
+        lens, toks = [*self.lens[leaf][:head], *made_lens], [*self.toks[leaf][:head], *made_toks]
         if last == leaf:
-            self._set(leaf, self.lens[leaf][:head] + list(map(len, made)) + tail[0], self.toks[leaf][:head] + counts + tail[1])
+            self._set(leaf, lens + tail[0], toks + tail[1])
             return
-        self._set(leaf, self.lens[leaf][:head] + list(map(len, made)), self.toks[leaf][:head] + counts)
+        self._set(leaf, lens, toks)
         for k in range(leaf + 1, last):
-            if self.lens[k]:
+            if len(self.lens[k]):
                 self._set(k, [], [])
         self._set(last, *tail)
 
@@ -159,19 +147,20 @@ def count_edited(docs: DataFrame, edits: DataFrame, tokenizer: str | None = None
     rows = docs.select("doc_id", "text").join(lists, F.col("doc_id") == F.col("_d"), "left").select("doc_id", "text", "edits")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(tokenizer or tokenizer_path("byte_bpe_50k.json"))
+        words = vocabulary(tokenizer or tokenizer_path("byte_bpe_50k.json"))
         for b in batches:
-            yield _counted(pieces, zip(b["doc_id"], b["text"], ([] if e is None else [(int(x["start"]), int(x["end"]), x["replacement"]) for x in e] for e in b["edits"]), strict=True))
+            yield _counted(words, b["doc_id"], b["text"], [[] if e is None else [(int(x["start"]), int(x["end"]), x["replacement"]) for x in e] for e in b["edits"]])
 
     return rows.mapInPandas(run, _COUNTS)
 
 
-def _counted(pieces: Pieces, rows) -> pd.DataFrame:
+def _counted(words: Vocabulary, docs: pd.Series, texts: pd.Series, edits: list[list[tuple[int, int, str]]]) -> pd.DataFrame:
     out = []
-    for doc, text, edits in rows:
-        tree = TokenTree(text or "", pieces)
+    texts = [t or "" for t in texts]
+    for doc, text, own, (lens, toks) in zip(docs, texts, edits, words.split(texts), strict=True):
+        tree = TokenTree(text, words, lens, toks)
         before = tree.total
-        n = _apply(tree, edits)
+        n = _apply(tree, own)
         out.append((doc, before, n, tree.total, len(tree.text), tree.encoded))
     return pd.DataFrame(out, columns=[c.split()[0] for c in _COUNTS.split(", ")])
 
@@ -180,8 +169,8 @@ def count_replaced(docs: DataFrame, pattern: str, replacement: str, tokenizer: s
     """_COUNTS where the edits put `replacement` for each match of `pattern` (Python) in a text; in one pass, without a join."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces, found = Pieces(tokenizer or tokenizer_path("byte_bpe_50k.json")), re.compile(pattern)
+        words, found = vocabulary(tokenizer or tokenizer_path("byte_bpe_50k.json")), re.compile(pattern)
         for b in batches:
-            yield _counted(pieces, ((d, t, [(m.start(), m.end(), replacement) for m in found.finditer(t or "")]) for d, t in zip(b["doc_id"], b["text"], strict=True)))
+            yield _counted(words, b["doc_id"], b["text"], [[(m.start(), m.end(), replacement) for m in found.finditer(t or "")] for t in b["text"]])
 
     return docs.select("doc_id", "text").mapInPandas(run, _COUNTS)
