@@ -28,11 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
 _SHIPPED: set[str] = set()
 
 
+#: Rows and bytes of a batch that goes to a Python worker: whole texts are long, so the defaults would hold too many.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, which may not have it; once for each application."""
+    """Sends this package to the executors, which may not have it, once for each application; and bounds their batches."""
     import shutil
     from pathlib import Path
 
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) == 10000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
     package = Path(__file__).resolve().parents[1]
     if spark.sparkContext.applicationId not in _SHIPPED and package.is_dir():
         name = shutil.make_archive(f"{tempfile.mkdtemp(prefix='lakeloom-')}/{package.name}", "zip", package.parent, package.name)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
 #: Characters that are scored together, which bounds a worker's memory; a longer text is scored alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Languages beyond this number are not expected; the matrix would no longer be small.
 MOST_LANGUAGES = 1000
 
