@@ -86,14 +86,17 @@ def _answer(table: DataFrame, asked, n: int, k: int, cells: int, top: int) -> Da
         def count(batches: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
             low, width = state.value
             ids = asked.value[0]
+            none = np.iinfo(np.int64).min
+            # The k highest that the task has seen for each query: what is below can't be among the k highest of all.
+            best = np.full((ids.size, k), none)
             for at, own, s in scored(batches):
-                s = np.where(own[None, :] == ids[at][:, None], np.iinfo(np.int64).min, s)
-                if s.shape[1] > k:
-                    s = np.partition(s, s.shape[1] - k, 1)[:, -k:]  # the rest can't be among the k highest
-                cell = (s - low[at][:, None]) // width
-                ok = (s > np.iinfo(np.int64).min) & (cell >= 0) & (cell < cells)
-                key, number = np.unique((at[:, None] * cells + cell)[ok], return_counts=True)
-                yield pd.DataFrame({"cell": key, "n": number})
+                s = np.where(own[None, :] == ids[at][:, None], none, s)
+                s = np.concatenate([best[at], s], axis=1)
+                best[at] = np.partition(s, s.shape[1] - k, 1)[:, -k:]
+            cell = (best - low[:, None]) // width
+            ok = (best > none) & (cell >= 0) & (cell < cells)
+            key, number = np.unique((np.arange(ids.size)[:, None] * cells + cell)[ok], return_counts=True)
+            yield pd.DataFrame({"cell": key, "n": number})
 
         hist = table.mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
         # The cell with the kth highest: the last whose count from above is below k with it left out.
