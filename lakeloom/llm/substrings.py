@@ -218,6 +218,18 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("bytes")).filter((F.length("bytes") >= length) & F.col("doc_id").isNotNull()).mapInPandas(run, _ROW)
 
 
+def _bundled(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Batches of about so many rows; those that Spark hands over are small, for the sake of long texts."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        held.append(b)
+        if sum(map(len, held)) >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def shared_anchors(rows: DataFrame, length: int) -> DataFrame:
     """Of `anchors`: runs that repeat (place -1), and anchors whose K bytes have other surroundings elsewhere."""
 
@@ -225,7 +237,7 @@ def shared_anchors(rows: DataFrame, length: int) -> DataFrame:
         # Sorted by h, c, document, place: what a row is depends on its neighbours; the last run waits for the next batch.
         before: tuple | None = None  # h, c, document and place of the first row of the last surroundings; whether they are of a shared h
         wait: pd.DataFrame | None = None
-        for b in batches:
+        for b in _bundled(batches, 1 << 17):
             yield b[b["place"] < 0]
             b = b[b["place"] >= 0].reset_index(drop=True)
             if wait is not None:
