@@ -16,8 +16,8 @@ import numpy as np
 
 _U = np.uint64
 #: Characters that are cut together, and pre-tokens that the table holds before it is emptied; both bound memory.
+#: One longer text is cut whole; should it have more pre-tokens, the table has room for them until the next chunk.
 CHUNK, CAPACITY = 1 << 18, 1 << 19
-_SLOTS = CAPACITY * 4
 # Superscripts, fractions and separators on which classes differ, and what lies beyond the table below.
 _OTHER = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]")
 _LIMIT = 0x250
@@ -90,10 +90,11 @@ class Vocabulary:
         self.down = [np.cumprod(np.r_[_U(1), np.full(size, pow(b, -1, 2**64), _U)]) for b in base]
         self._clear()
 
-    def _clear(self) -> None:
-        self.slot = np.full(_SLOTS, -1, np.int32)
-        self.key = np.zeros((2, CAPACITY), _U)
-        self.at, self.count = np.zeros(CAPACITY, np.int64), np.zeros(CAPACITY, np.int32)
+    def _clear(self, need: int = 0) -> None:
+        self.room = max(CAPACITY, need)
+        self.slot = np.full(self.room * 4, -1, np.int32)
+        self.key = np.zeros((2, self.room), _U)
+        self.at, self.count = np.zeros(self.room, np.int64), np.zeros(self.room, np.int32)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = self.filled = 0
 
@@ -104,13 +105,13 @@ class Vocabulary:
         """Entries of pre-tokens by their hashes; -1 where there is none."""
         out = np.full(a.size, -1, np.int64)
         todo = np.arange(a.size)
-        at = (a >> _U(40)).astype(np.int64) % _SLOTS
+        at = (a >> _U(32)).astype(np.int64) % self.slot.size
         while todo.size:
             e = self.slot[at]
             hit = (e >= 0) & (self.key[0][e] == a[todo]) & (self.key[1][e] == b[todo])
             out[todo[hit]] = e[hit]
             go = (e >= 0) & ~hit
-            todo, at = todo[go], (at[go] + 1) % _SLOTS
+            todo, at = todo[go], (at[go] + 1) % self.slot.size
         return out
 
     def _learn(self, a: np.ndarray, b: np.ndarray, texts: list[str]) -> None:
@@ -123,9 +124,9 @@ class Vocabulary:
             self.key[0][k], self.key[1][k], self.at[k], self.count[k] = x, y, self.filled, len(ids)
             self.filled += len(ids)
             self.used += 1
-            at = (x >> 40) % _SLOTS
+            at = (x >> 32) % self.slot.size
             while self.slot[at] >= 0:
-                at = (at + 1) % _SLOTS
+                at = (at + 1) % self.slot.size
             self.slot[at] = k
 
     def _cut(self, texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
@@ -144,11 +145,13 @@ class Vocabulary:
                 h = (sums[e] - sums[s]) * up[s]
                 hashes.append((h ^ (h >> _U(31))) * _U(0xBF58476D1CE4E5B9))
             a, b = hashes
+            if self.room > CAPACITY:
+                self._clear()
             entry = self._find(a, b)
             if (entry < 0).any():
                 new = np.flatnonzero(entry < 0)
                 if self.used + np.unique(a[new]).size > CAPACITY:
-                    self._clear()
+                    self._clear(np.unique(a).size)
                     new = np.arange(a.size)
                 one = new[np.unique(a[new], return_index=True)[1]]
                 self._learn(a[one], b[one], [points[i:j].tobytes().decode("utf-32-le") for i, j in zip(s[one], e[one], strict=True)])

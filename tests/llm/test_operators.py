@@ -149,6 +149,23 @@ def test_token_trees(seed):
     v.tokenizer.encode_special_tokens = False
 
 
+def test_more_pre_tokens_than_the_table_holds(monkeypatch):
+    """In one text, between texts that fit; before, the table had no place for them."""
+    from lakeloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "CAPACITY", 64)
+    v = tokens.Vocabulary(tokenizer_path("byte_bpe_50k.json"))
+    r = random.Random(2)
+    texts = ["a few words", " ".join(str(r.randrange(10**9)) for _ in range(3000)), "a few words more", " ".join(f"n{k} x" for k in range(65)), "", "a few words"]
+    for one in (texts, texts[::-1]):
+        assert [x.tolist() for x in v.encode(one)] == [v.tokenizer.encode(t, add_special_tokens=False).ids for t in one]
+        for t in one:  # each a chunk of its own
+            assert v.encode([t])[0].tolist() == v.tokenizer.encode(t, add_special_tokens=False).ids
+            assert v.split([t])[0][1].sum() == len(v.tokenizer.encode(t, add_special_tokens=False).ids)
+    v.encode(["a few words"])
+    assert v.room == 64
+
+
 def test_edited_counts(spark, docs, none):
     edits = spark.createDataFrame([(9, 0, 2, "new words"), (15, 30, 40, None), (15, 35, 36, "skipped"), (15, 5000, 5010, " x "), (0, 0, 1, "outside"), (999, 0, 0, "nobody")], "doc_id long, start int, end int, replacement string")
     out = {r["doc_id"]: r for r in token_counts.count_edited(docs, edits).collect()}
