@@ -34,8 +34,8 @@ PATTERNS = {
     "man": rf"(?<!\p{{L}})(?:{_MALE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
     "woman": rf"(?<!\p{{L}})(?:{_FEMALE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
-#: Any match has one of these; most texts have none and are not searched further.
-_HINT = rf"[0-9@]|(?=[FHMS])(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}|sk-[0-9A-Za-z_-]{{20}}|[A-Fa-f]{{32}}"
+#: Any match has one of these (a digit, an @, a title, or a secret's own form, which may have neither); most texts have none and are not searched further.
+_HINT = rf"[0-9@]|(?=[FHMS])(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}|sk-[0-9A-Za-z_-]{{20}}|[A-Fa-f]{{32}}|AKIA[A-Z]{{16}}|gh[pousr]_[A-Za-z]{{36}}"
 # Names for surrogates by gender and script, and the letters of the scripts.
 GIVEN = {
     ("man", "latin"): "Adam Albert Bruno Carl Daniel Edgar Felix Georg Henry Ivan Jonas Karl Leo Martin Noel Oscar Paul Robert Simon Tomas Victor Walter".split(),
