@@ -14,7 +14,7 @@ shingle of all its words. Very long texts are hashed whole. Equal rows share a f
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import similar
 from .common import small, written
 
 #: Distinct fingerprints that a bucket holds before it is dealt out again.
@@ -216,9 +217,14 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp (signed long) and component_id, the smallest doc_id of those that links reach."""
-    prints = written(fingerprints(docs, shingle, seed), "prints")
+    return settled(fingerprints(docs, shingle, seed), lambda fps: near_links(fps, bits))
+
+
+def settled(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`prints` (doc_id, fp) with component_id, from what `links` makes of the distinct fp."""
+    prints = written(prints, "prints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
-    roots = components(near_links(distinct.select("fp"), bits))
+    roots = components(links(distinct.select("fp")))
     own = distinct.join(roots, F.col("fp") == F.col("node"))
     whole = own.groupBy("root").agg(F.min("least").alias("m"))
     # The root itself is linked but has no row of its own in `roots`.
@@ -230,7 +236,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, seed: int
     return prints.join(small(table), F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", F.coalesce("_c", "doc_id").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
-    """The rows of `docs` with the smallest doc_id of their component."""
-    gone = near_duplicates(docs, shingle, bits).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs` with the smallest doc_id of their component.
+
+    Links are pairs whose sets of word shingles have at least that Jaccard similarity: see similar.py. Fingerprints
+    play no part, as near copies of 0.8 differ in more of their bits than blocks can bring together.
+    """
+    gone = settled(similar.keys(docs, shingle), lambda _: similar.similar_links(docs, shingle, similarity, components)).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
     return docs.join(small(written(gone, "gone")), docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")

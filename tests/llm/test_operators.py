@@ -268,6 +268,42 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def jaccard_kept(texts, shingle=5, least=0.8):
+    sets = {d: {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if (w := (t or "").lower().split()) else set() for d, t in texts}
+    ids, top = sorted(sets), {d: d for d in sets}
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            x, y = sets[a], sets[b]
+            if top[a] != top[b] and len(x & y) >= least * len(x | y):
+                low, high = sorted((top[a], top[b]))
+                top = {d: low if r == high else r for d, r in top.items()}
+    return sorted(set(top.values()))
+
+
+@pytest.mark.parametrize(("bucket", "common"), [(32, 8), (2, 2)])
+def test_near_stage_by_jaccard(spark, none, monkeypatch, bucket, common):
+    """All pairs of at least 0.8 are linked, at 0.8 itself too, and none below; also where buckets are large."""
+    from lakeloom.llm import similar
+
+    monkeypatch.setattr(similar, "BUCKET", bucket)
+    monkeypatch.setattr(similar, "COMMON", common)
+    r = random.Random(8)
+    rows = [(9000, None), (9001, " \n"), (9002, "a b c d e f g h i j k l"), (9003, "a b c d e f g h i j k l m n"), (9004, "one two"), (9005, "ONE  two")]
+    line = " ".join(f"l{k}" for k in range(12))
+    for k in range(40):
+        base = [r.choice(WORDS) + str(r.randrange(40)) for _ in range(r.choice((12, 30, 120)))]
+        for n in range(r.choice((1, 2, 3, 14))):
+            w = list(base)
+            for _ in range(r.randrange(0, 1 + len(w) // 20)):
+                w[r.randrange(len(w))] = "new" + str(r.randrange(9))
+            rows.append((k * 100 + n, " ".join(w) + (f" {line}" if k % 3 == 0 else "")))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = jaccard_kept(rows)
+    assert len(want) < len(rows) - 20
+    assert sorted(x[0] for x in simhash.deduplicated(df).collect()) == want
+    assert simhash.deduplicated(none).count() == 0
+
+
 @pytest.mark.parametrize("bucket", [4096, 4])
 def test_trie_join_connects_what_is_near(spark, monkeypatch, bucket):
     """Also where buckets are dealt out again, down to the last bits."""
