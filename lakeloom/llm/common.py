@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,11 +54,53 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/lakeloom/{label}-{uuid.uuid4().hex}"
 
 
+#: Once what it made is written, a query's shuffle files have done their work.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again, which cuts its lineage."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    with _cleaned(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def partitions(df: DataFrame) -> int:
+    """Those that the session shuffles to."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """As `written`, dealt out by `key`: joins and groups by it move only the other side."""
+    spark, path, name, n = df.sparkSession, new_path(df.sparkSession, label), f"lakeloom_{uuid.uuid4().hex}", partitions(df)
+    with _cleaned(spark):
+        df.repartition(n, key).write.option("path", path).option("compression", "zstd").bucketBy(n, key).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved now, as the name goes; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+def partition_keys(spark: SparkSession, n: int) -> list[int]:
+    """A number for each of n partitions that repartition() by it deals there."""
+    found: dict[int, int] = {}
+    low = 0
+    while len(found) < n:
+        ids = spark.range(low, low + 8 * n + 64)
+        found = {r[0]: r[1] for r in ids.groupBy(F.pmod(F.hash("id"), F.lit(n))).agg(F.min("id")).collect()} | found
+        low += 8 * n + 64
+    return [found[k] for k in range(n)]
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import zstandard
 
 
 def shared(a: bytes, b: bytes, start: int = 0) -> int:
@@ -22,23 +23,28 @@ def shared(a: bytes, b: bytes, start: int = 0) -> int:
     return low
 
 
-def encode(rows: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """(common prefix with the row before, the remaining bytes of all rows); rows: sorted strings of one length."""
-    n, width = rows.shape
-    lcp = np.zeros(n, np.uint8)
-    if n > 1:
-        same = rows[1:] == rows[:-1]
-        lcp[1:] = np.where(same.all(1), width, same.argmin(1))
-    return lcp, rows[np.arange(width)[None, :] >= lcp[:, None]].tobytes()
+def prefixes(texts: list[bytes]) -> list[int]:
+    """Of sorted strings, the length that each shares with the one before."""
+    return [0, *map(shared, texts, texts[1:])][: len(texts)]
 
 
-def decode(lcp: bytes, rest: bytes, width: int) -> Iterator[tuple[int, bytes]]:
-    """(common prefix with the string before, the string)."""
-    last, at = b"", 0
-    for n in lcp:
-        last = last[:n] + rest[at : at + width - n]
-        at += width - n
-        yield n, last
+def encode(texts: list[bytes], lcp: list[int]) -> bytes:
+    """A block of sorted strings: how many, their common prefixes, their lengths, and only what follows the prefixes."""
+    head = np.array([len(texts), *lcp, *map(len, texts)], "<u4").tobytes()
+    return zstandard.compress(head + b"".join(t[n:] for t, n in zip(texts, lcp, strict=True)), 3)
+
+
+def decode(block: bytes) -> tuple[list[int], list[bytes]]:
+    """(common prefixes, strings); the prefix of the first is 0."""
+    raw = zstandard.decompress(block)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    lcp, sizes = np.frombuffer(raw, "<u4", 2 * n, 4).reshape(2, n).tolist()
+    last, at, out = b"", 4 + 8 * n, []
+    for p, size in zip(lcp, sizes, strict=True):
+        last = last[:p] + raw[at : at + size - p]
+        at += size - p
+        out.append(last)
+    return lcp, out
 
 
 def merge(runs: list[Iterator[tuple[int, bytes, tuple]]]) -> Iterator[tuple[int, bytes, tuple]]:

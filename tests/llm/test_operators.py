@@ -209,10 +209,9 @@ def test_loser_tree():
     runs = [sorted("".join(r.choice("ab") for _ in range(12)).encode() for _ in range(r.randint(0, 40))) for _ in range(7)]
 
     def coded(run):
-        if not run:
-            return iter(())
-        lcp, rest = front.encode(np.frombuffer(b"".join(run), np.uint8).reshape(-1, 12))
-        return ((n, t, ()) for n, t in front.decode(lcp.tobytes(), rest, 12))
+        lcp, texts = front.decode(front.encode(run, front.prefixes(run)))
+        assert texts == run
+        return ((n, t, ()) for n, t in zip(lcp, texts, strict=True))
 
     out = list(front.merge([coded(x) for x in runs]))
     assert [t for _, t, _ in out] == sorted(sum(runs, []))
