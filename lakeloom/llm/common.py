@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that separate words: the space and the controls from tab to carriage return.
@@ -59,7 +59,7 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
-def _cleaned(spark: SparkSession) -> Iterator[None]:
+def writing(spark: SparkSession) -> Iterator[None]:
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
@@ -71,7 +71,7 @@ def _cleaned(spark: SparkSession) -> Iterator[None]:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again, which cuts its lineage."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    with _cleaned(spark):
+    with writing(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -84,7 +84,7 @@ def partitions(df: DataFrame) -> int:
 def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     """As `written`, dealt out by `key`: joins and groups by it move only the other side."""
     spark, path, name, n = df.sparkSession, new_path(df.sparkSession, label), f"lakeloom_{uuid.uuid4().hex}", partitions(df)
-    with _cleaned(spark):
+    with writing(spark):
         df.repartition(n, key).write.option("path", path).option("compression", "zstd").bucketBy(n, key).saveAsTable(name)
     out = spark.table(name)
     out.schema  # resolved now, as the name goes; the files stay
@@ -108,6 +108,30 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A name like it that no column of `df` has."""
+    taken, out = {c.lower() for c in df.columns}, name
+    while out.lower() in taken:
+        out += "_"
+    return out
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns by name, whatever the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The rows, written, with a number each, and the name of its column."""
+    row = unused(docs, "row")
+    return written(docs.select("*", F.monotonically_increasing_id().alias(row)), label), row
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer's file is on this machine; executors call it for themselves."""
     import public_tokenizers

@@ -1,28 +1,32 @@
 """Exact deduplication by a stateful stream.
 
-Documents become rows of digest, identifier and size, written to the shared folder. A stream reads them with a state
-for each digest, kept on disk (RocksDB) and never expired: how many rows had it, and the identifier, size and locator
-of the row that stays. Rows that hit a digest are then held against the bytes that its locator leads to; should any
-differ, their digest's documents are grouped by the bytes themselves. The stream can be continued with later documents.
+Documents are written to the shared folder, which gives each a locator: the part (one for each set of documents) and its row
+there. Rows of digest, identifier, size and locator go through a stream with a state for each digest, kept on disk
+(RocksDB) and never expired: how many rows had it, and identifier, size and locator of the row that stays. Rows that hit
+a digest are then read by their locators together with the row that stays, and their full bytes are compared. Should
+any differ, the state is built anew from the written documents with two more digests, and the check is made again. The
+stream can be continued with later documents.
 
 Texts are equal when the same without the white space of SPACE; null counts as empty, so null and empty texts are
-one group. Of equal texts the one with the most code points stays, then the smallest doc_id. Equal rows count one by
-one and one of them stays. An empty table gives no rows.
+one group. Of equal texts the one with the most code points stays, then the smallest doc_id (null last), then the first
+by locator. Decisions are taken by locator: equal rows, and rows that share a doc_id or have none, count one by one and
+one of a group stays. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import new_path, small
+from .common import columns, exists, new_path, partitions, small, unused, writing
 
-_DIGESTS = "doc_id long, n_points long, digest string, twin long"
+_LAST = (1 << 63) - 1
+_DIGESTS = "doc_id long, ord long, n_points long, digest string, part int, row long"
+_GROUPS = "digest string, group_size long, keep_id long, keep_part int, keep_row long"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -30,98 +34,132 @@ def bare(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(None, b" \t\n\x0b\x0c\r")
 
 
-def digest(text: bytes, strong: bool = False) -> str:
-    return hashlib.sha256(text).hexdigest() + (hashlib.blake2b(text).hexdigest() if strong else "")
-
-
-def digests(docs: DataFrame, strong: bool = False) -> DataFrame:
-    """twin numbers the rows of a task, so that rows equal in all else differ."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = 0
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_points": [len(t or "") for t in b["text"]], "digest": [digest(bare(t), strong) for t in b["text"]], "twin": range(at, at + len(b))})
-            at += len(b)
-
-    return docs.select("doc_id", "text").mapInPandas(run, _DIGESTS)
+def sha256(text: bytes) -> str:
+    return hashlib.sha256(text).hexdigest()
 
 
 class Deduplicator:
     """State under `home` in the shared folder; each `add` continues the stream over one more set of documents."""
 
-    def __init__(self, spark: SparkSession, home: str | None = None, strong: bool = False):
-        self.spark, self.home, self.strong = spark, home or new_path(spark, "dedup"), strong
-
-    def add(self, docs: DataFrame) -> None:
-        digests(docs, self.strong).write.mode("append").parquet(f"{self.home}/rows")
-        spark, conf = self.spark, self.spark.conf
+    def __init__(self, spark: SparkSession, home: str | None = None, digest: Callable[[bytes], str] = sha256):
+        self.spark, self.home, self.digest = spark, home or new_path(spark, "dedup"), digest
+
+    @property
+    def strong(self) -> bool:
+        """Whether texts that differ had one digest."""
+        return exists(self.spark, f"{self.home}/strong")
+
+    def _state(self, what: str) -> str:
+        return f"{self.home}/{'strong' if self.strong else 'plain'}/{what}"
+
+    def parts(self) -> int:
+        n = 0
+        while exists(self.spark, f"{self.home}/texts-{n}/_SUCCESS"):
+            n += 1
+        return n
+
+    def texts(self, part: int) -> tuple[DataFrame, str]:
+        """The documents of a set with all their columns, and the column with their row numbers, the last one."""
+        df = self.spark.read.parquet(f"{self.home}/texts-{part}")
+        return df, df.columns[-1]
+
+    def add(self, docs: DataFrame) -> int:
+        """Adds a set of documents; its part."""
+        part = self.parts()
+        with writing(self.spark):
+            docs.select("*", F.monotonically_increasing_id().alias(unused(docs, "row"))).write.mode("overwrite").parquet(f"{self.home}/texts-{part}")
+        self._advance(part)
+        if self._differing(part) and not self.strong:
+            self.spark.createDataFrame([(part,)], "since int").write.parquet(f"{self.home}/strong")
+            for k in range(part + 1):
+                self._advance(k)
+            if any(self._differing(k) for k in range(part + 1)):
+                raise ValueError("texts that differ have the same three digests")
+        return part
+
+    def _advance(self, part: int) -> None:
+        texts, row = self.texts(part)
+        digest, strong = self.digest, self.strong
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                own = [bare(t) for t in b["text"]]
+                yield pd.DataFrame({"digest": [digest(t) + (sha256(t) + hashlib.blake2b(t).hexdigest() if strong else "") for t in own], "n_points": [len(t or "") for t in b["text"]], "doc_id": b["doc_id"], "row": b["row"]})
+
+        plain = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(row).alias("row")).mapInPandas(run, "digest string, n_points long, doc_id long, row long")
+        plain.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("ord"), "n_points", "digest", F.lit(part).alias("part"), "row").write.mode("append").parquet(self._state("rows"))
+        conf = self.spark.conf
         keys = {"spark.sql.streaming.stateStore.providerClass": _ROCKS, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}  # many small stores: no room set aside for each
         before = {k: conf.get(k, None) for k in keys}
         for k, v in keys.items():
             conf.set(k, v)
         try:
-            best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("_neg")))
-            rows = spark.readStream.schema(_DIGESTS).parquet(f"{self.home}/rows")
-            groups = rows.groupBy("digest").agg(F.count("*").alias("group_size"), best.alias("_best"))
+            best = F.max(F.struct("n_points", (-F.col("ord")).alias("_ord"), (-F.col("part")).alias("_part"), (-F.col("row")).alias("_row"), "doc_id"))
+            groups = self.spark.readStream.schema(_DIGESTS).parquet(self._state("rows")).groupBy("digest").agg(F.count("*").alias("group_size"), best.alias("_best"))
+            to = self._state("groups")
 
             def keep(batch: DataFrame, epoch: int) -> None:
-                batch.select("digest", "group_size", (-F.col("_best._neg")).alias("keep_id"), F.col("_best.n_points").alias("keep_points"), F.lit(epoch).alias("epoch")).write.mode("overwrite").parquet(f"{self.home}/groups/epoch={epoch}")
+                best = [F.col("_best.doc_id").alias("keep_id"), (-F.col("_best._part")).alias("keep_part"), (-F.col("_best._row")).alias("keep_row")]
+                batch.select("digest", "group_size", *best, F.lit(epoch).alias("epoch")).write.mode("overwrite").parquet(f"{to}/epoch={epoch}")
 
-            query = groups.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{self.home}/state").trigger(availableNow=True).start()
+            query = groups.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", self._state("state")).trigger(availableNow=True).start()
             query.awaitTermination()
         finally:
             for k, v in before.items():
                 conf.unset(k) if v is None else conf.set(k, v)
 
+    def _differing(self, part: int) -> bool:
+        """Whether rows of a part that hit a digest differ in their bytes from each other or from the row that stays."""
+        rows, groups = self.rows().filter(F.col("part") == part), self.groups().filter("group_size > 1")
+        hits = rows.join(small(groups.select("digest", "keep_part", "keep_row")), "digest")
+        places = hits.select("digest", "part", "row").unionByName(hits.select("digest", F.col("keep_part").alias("part"), F.col("keep_row").alias("row")).distinct())
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"digest": b["digest"], "bytes": [bare(t) for t in b["text"]]}).drop_duplicates()
+
+        found = None
+        for k in range(part + 1):
+            texts, row = self.texts(k)
+            own = places.filter(F.col("part") == k).select("digest", F.col("row").alias("_at"))
+            read = texts.select("text", F.col(row).alias("_row")).join(small(own), F.col("_row") == F.col("_at")).select("digest", "text").mapInPandas(run, "digest string, bytes binary")
+            found = read if found is None else found.unionByName(read)
+        # Copies meet in each task before they are dealt out.
+        return bool(found.groupBy("digest", "bytes").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count())
+
     def groups(self) -> DataFrame:
-        """digest, group_size, keep_id, keep_points: the newest of each digest."""
-        path = f"{self.home}/groups"
-        jvm = self.spark.sparkContext._jvm
-        there = jvm.org.apache.hadoop.fs.Path(path)
-        if not there.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
-            return self.spark.createDataFrame([], "digest string, group_size long, keep_id long, keep_points long")
-        rows = self.spark.read.schema("digest string, group_size long, keep_id long, keep_points long, epoch int").parquet(path)
-        newest = rows.groupBy("digest").agg(F.max(F.struct("epoch", "group_size", "keep_id", "keep_points")).alias("_x"))
-        return newest.select("digest", "_x.group_size", "_x.keep_id", "_x.keep_points")
+        """digest, group_size, and keep_id, keep_part and keep_row of the row that stays: the newest of each digest."""
+        path = self._state("groups")
+        if not exists(self.spark, path):
+            return self.spark.createDataFrame([], _GROUPS)
+        rows = self.spark.read.schema(f"{_GROUPS}, epoch int").parquet(path)
+        own = [x.split()[0] for x in _GROUPS.split(", ")[1:]]
+        newest = rows.groupBy("digest").agg(F.max(F.struct("epoch", *own)).alias("_x"))
+        return newest.select("digest", *(f"_x.{k}" for k in own))
 
     def rows(self) -> DataFrame:
-        return self.spark.read.schema(_DIGESTS).parquet(f"{self.home}/rows")
+        return self.spark.read.schema(_DIGESTS).parquet(self._state("rows"))
 
 
-def differing(docs: DataFrame, groups: DataFrame, strong: bool) -> DataFrame:
-    """Digests whose documents don't all have the same bytes. Copies meet in each task before they are dealt out."""
-    hits = small(groups.filter("group_size > 1").select("digest"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = [bare(t) for t in b["text"]]
-            yield pd.DataFrame({"digest": [digest(t, strong) for t in texts], "bytes": texts})
-
-    texts = docs.select("text").mapInPandas(run, "digest string, bytes binary").join(hits, "digest")
-    return texts.groupBy("digest", "bytes").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
-
-
-def decide(docs: DataFrame, strong: bool = False) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, keep_points; a row for each document."""
-    state = Deduplicator(docs.sparkSession, strong=strong)
-    state.add(docs)
-    groups = state.groups()
-    if not strong and differing(docs, groups, strong).limit(1).count():
-        return decide(docs, strong=True)  # a collision of SHA-256: tell the texts apart by two digests
-    shared = small(groups.filter("group_size > 1").withColumnRenamed("digest", "_d"))
+def _decided(state: Deduplicator) -> DataFrame:
+    """doc_id, digest, part, row, keep_id, group_size, kept of all documents added."""
+    shared = small(state.groups().filter("group_size > 1").withColumnRenamed("digest", "_d"))
     rows = state.rows().join(shared, F.col("digest") == F.col("_d"), "left")
     alone = F.col("_d").isNull()
-    rows = rows.withColumn("keep_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")))
-    # Of rows that are equal in all columns one stays.
-    same = F.row_number().over(Window.partitionBy("digest", "doc_id").orderBy(F.col("n_points").desc(), "twin"))
-    kept = alone | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (same == 1))
-    return rows.select("doc_id", "keep_id", F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), F.substring("digest", 1, 64).alias("text_sha256"))
+    kept = alone | (F.col("part") == F.col("keep_part")) & (F.col("row") == F.col("keep_row"))
+    return rows.select("doc_id", "digest", "part", "row", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"))
+
+
+def decide(docs: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256; a row for each document."""
+    state = Deduplicator(docs.sparkSession)
+    state.add(docs.select("doc_id", "text"))
+    return _decided(state).select("doc_id", "keep_id", "group_size", "kept", F.substring("digest", 1, 64).alias("text_sha256"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay."""
-    out = decide(docs)
-    gone = small(out.filter(~F.col("kept")).join(out.filter("kept").select(F.col("doc_id").alias("_k")), F.col("doc_id").eqNullSafe(F.col("_k")), "left_anti").select(F.col("doc_id").alias("_gone")))
-    rest = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
-    twice = out.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return rest.dropDuplicates(["doc_id", "text"]) if twice else rest
+    state = Deduplicator(docs.sparkSession)
+    texts, row = state.texts(state.add(docs))
+    gone = small(_decided(state).filter(~F.col("kept")).select(F.col("row").alias(row)))
+    return texts.join(gone, row, "left_anti").select(*columns(docs))
