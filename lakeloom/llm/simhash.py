@@ -23,12 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import similar
-from .common import small, written
+from .common import columns, numbered, partitions, small, written
+from .trie import majority, trie_forest
 
 #: Distinct fingerprints that a bucket holds before it is dealt out again.
 BUCKET = 4096
-#: Node pairs that are traversed at once.
-FRONT = 1 << 19
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -44,11 +43,7 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
         starts = [0, *(ends[: n - 1] + 1).tolist()]
         h = xxhash.xxh64_intdigest
         hashes = np.fromiter((h(line[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, hashes.size, 1 << 16):
-        part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(((ones * 2 > hashes.size).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -62,66 +57,6 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     return docs.select("doc_id", F.pandas_udf(run, "long")(F.col("text")).alias("fp"))
 
 
-def trie_forest(bucket: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) that connect what is within `bits` in the same bucket; input sorted by bucket, then fp as unsigned."""
-    n = fp.size
-    label = np.arange(n)
-    links: list[tuple[int, int]] = []
-
-    def root(x: int) -> int:
-        while label[x] != x:
-            label[x] = label[label[x]]
-            x = label[x]
-        return x
-
-    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if n else np.zeros(0, np.int64)
-    last = np.r_[first[1:], n]
-    live = last - first > 1
-    # A node is a run of sorted fingerprints; a pair has two nodes of equal depth, the same one or the left one first.
-    stack = [(63, first[live], last[live], first[live], last[live], np.zeros(live.sum(), np.int8))]
-    while stack:
-        bit, a0, a1, b0, b1, apart = stack.pop()
-        if a0.size > FRONT:
-            for at in range(0, a0.size, FRONT):
-                stack.append((bit, *(x[at : at + FRONT] for x in (a0, a1, b0, b1, apart))))
-            continue
-        # Pairs of single fingerprints are settled by their own bits.
-        leaf = (a1 - a0 == 1) & (b1 - b0 == 1)
-        if leaf.any():
-            x, y = a0[leaf], b0[leaf]
-            near = (x != y) & (np.bitwise_count(fp[x] ^ fp[y]) <= bits)
-            for p, q in zip(x[near].tolist(), y[near].tolist(), strict=True):
-                r, s = root(p), root(q)
-                if r != s:
-                    label[max(r, s)] = min(r, s)
-                    links.append((p, q))
-        a0, a1, b0, b1, apart = (x[~leaf] for x in (a0, a1, b0, b1, apart))
-        if not a0.size:
-            continue
-        if links:
-            # Nothing is new below two nodes whose fingerprints all belong to one component.
-            while (label != label[label]).any():
-                label = label[label]
-            change = np.r_[0, np.cumsum(label[1:] != label[:-1])]
-            whole = (change[a1 - 1] == change[a0]) & (change[b1 - 1] == change[b0]) & (label[a0] == label[b0])
-            a0, a1, b0, b1, apart = (x[~whole] for x in (a0, a1, b0, b1, apart))
-        if bit < 0 or not a0.size:
-            continue  # equal fingerprints; callers pass distinct ones
-        ones = np.cumsum(np.r_[0, (fp >> np.uint64(bit)).astype(np.int64) & 1])
-        am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
-        same = a0 == b0
-        parts = [(a0, am, b0, bm, apart, None), (am, a1, bm, b1, apart, None), (a0, am, bm, b1, apart + 1, None), (am, a1, b0, bm, apart + 1, same)]
-        out = []
-        for p0, p1, q0, q1, d, drop in parts:
-            ok = (p1 > p0) & (q1 > q0) & (d <= bits) & ~((p0 == q0) & (p1 - p0 == 1))
-            if drop is not None:
-                ok &= ~drop
-            out.append([x[ok] for x in (p0, p1, q0, q1, d)])
-        stack.append((bit - 1, *(np.concatenate(x) for x in zip(*out, strict=True))))
-    e = np.array(links, np.int64).reshape(-1, 2)
-    return e[:, 0], e[:, 1]
-
-
 def _cut(open_: list[int], parts: int) -> list[list[int]]:
     return [open_[len(open_) * k // parts : len(open_) * (k + 1) // parts] for k in range(parts)]
 
@@ -191,7 +126,7 @@ def near_links(distinct: DataFrame, bits: int = 3) -> DataFrame:
             yield solve(pd.concat(held, ignore_index=True))
 
     # The number of partitions is the session's; a bucket is in one of them, in one run of rows.
-    return out.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long")
+    return out.repartition(partitions(distinct), "key").sortWithinPartitions("key").mapInPandas(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -237,10 +172,13 @@ def settled(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataF
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs` with the smallest doc_id of their component.
+    """The rows of `docs` with the smallest doc_id of their component; of rows that share it, or have none, the first.
 
-    Links are pairs whose sets of word shingles have at least that Jaccard similarity: see similar.py. Fingerprints
-    play no part, as near copies of 0.8 differ in more of their bits than blocks can bring together.
+    Links are pairs whose sets of word shingles have at least that Jaccard similarity, found by the trie join within
+    the buckets of similar.py and checked exactly. Rows go by their number, so repeated and null ids are no matter.
     """
-    gone = settled(similar.keys(docs, shingle), lambda _: similar.similar_links(docs, shingle, similarity, components)).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(small(written(gone, "gone")), docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    rows, row = numbered(docs, "rows")
+    prints = similar.keys(rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("ord"), F.col(row).alias("row"), "text"))
+    top = settled(prints.select(F.struct("ord", "row").alias("doc_id"), "fp"), lambda _: similar.similar_links(rows, shingle, similarity, components))
+    gone = top.filter("doc_id.row <> component_id.row").select(F.col("doc_id.row").alias(row))
+    return rows.join(small(written(gone, "gone")), row, "left_anti").select(*columns(docs))

@@ -1,13 +1,17 @@
-"""Links between texts whose sets of word shingles have a Jaccard similarity of at least `least`: none is missed.
+"""Links between texts whose sets of word shingles have a Jaccard similarity of at least `least`, by the trie self-join.
 
-SimHashes can't bring such texts together: at 0.8 some ten of 64 bits differ, too many for blocks of bits that agree.
-So candidates come from prefixes of the sets: put into one order, rare shingles first, two sets of that similarity
-share a shingle among the first |x| - ceil(least |x|) + 1 of each; the nearer their sizes, the more (see _enough), so
-pairs that share too few are left out. The order decides about work only, never about results; what is common is
-guessed from a sample. Every candidate pair is checked with the whole sets.
+At 0.8 some ten of 64 SimHash bits differ, too many for blocks of bits that agree to deal fingerprints out. So for
+this join the buckets come from the sets: put into one order, rare shingles first, two sets of that similarity share a
+shingle among the first |x| - ceil(least |x|) + 1 of each, so texts that share one of those are a bucket. The order
+decides about work only, never about results; what is common is guessed from a sample. In each bucket the fingerprints
+are joined by their trie with a budget of BITS differing bits, which drops most of what shares a passage only; and a pair has to share
+as many shingles of its prefixes as similar ones do (see _enough). Every pair that remains is checked with the whole sets.
 
-Texts that share a prefix shingle are a bucket. Small buckets give all their pairs. Large ones first link their members
-to one of them; what then is still in different components there is compared pair by pair, so that many copies of one
+What the budget can lose: a bit of two texts of similarity 0.8 differs with a probability of about 0.15 (of 5 shingles
+against 4 of them: 0.19), so more than BITS of 64 differ in less than one of 100,000 such pairs.
+
+Small buckets give all their pairs within the budget. Large ones first link their members
+to one of them; what then is still in different components there is joined by the trie, which drops node pairs of one component, so that many copies of one
 text don't give the pairs of them all. What a pair shares is counted over all its buckets. Shingles stand by 64-bit hashes, texts by the hash of their words in lower case.
 """
 
@@ -22,10 +26,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import partitions, small, written
+from .trie import majority, trie_pairs
 
-#: Texts up to which a bucket gives all its pairs at once; candidate pairs made, and rows read, at a time.
-BUCKET, PAIRS, ROWS = 32, 1 << 18, 1 << 17
+#: Bits that fingerprints may differ in: see above.
+BITS = 26
+#: Texts up to which a bucket gives all its pairs at once; rows read at a time.
+BUCKET, ROWS = 32, 1 << 17
 #: Texts of the sample, and how many of them have a common shingle.
 SAMPLE, COMMON = 5000, 8
 _PAIR = "a long, b long"
@@ -46,15 +53,15 @@ def shingles(text: str | None, shingle: int) -> tuple[int, np.ndarray]:
     return key, np.unique(np.fromiter((h(line[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n))
 
 
-def keys(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and fp, the key of the text."""
+def keys(rows: DataFrame) -> DataFrame:
+    """ord, row (passed on) and fp, the key of the text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             k = [xxhash.xxh64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()), 7) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array(k, np.uint64).astype(np.int64)})
+            yield pd.DataFrame({"ord": b["ord"], "row": b["row"], "fp": np.array(k, np.uint64).astype(np.int64)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInPandas(run, "ord long, row long, fp long")
 
 
 def common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,13 +80,13 @@ def common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """token, k (the text's key) and n (size of its set); a text once in a task."""
+    """token, k (the text's key), n (size of its set) and fp (its fingerprint); a text once in a task."""
     often, times = common(docs, shingle)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for b in batches:
-            out: list[tuple[np.ndarray, int, int]] = []
+            out: list[tuple[np.ndarray, int, int, int]] = []
             for t in b["text"]:
                 k, s = shingles(t, shingle)
                 if k in seen or not s.size:
@@ -89,14 +96,12 @@ def prefixes(docs: DataFrame, shingle: int, least: float) -> DataFrame:
                 if often.size:
                     place = np.minimum(np.searchsorted(often, s), often.size - 1)
                     rank = np.where(often[place] == s, times[place], 0)
-                out.append((s[np.lexsort((s, rank))][: s.size - math.ceil(least * s.size - 1e-9) + 1], k, s.size))
-            sizes = [p.size for p, _, _ in out]
-            yield pd.DataFrame({
-                "token": np.concatenate([p for p, _, _ in out] or [np.zeros(0, np.uint64)]).astype(np.int64),
-                "k": np.repeat(np.array([k for _, k, _ in out], np.int64), sizes), "n": np.repeat(np.array([n for _, _, n in out], np.int32), sizes),
-            })
+                out.append((s[np.lexsort((s, rank))][: s.size - math.ceil(least * s.size - 1e-9) + 1], k, s.size, majority(s)))
+            sizes = [x[0].size for x in out]
+            token = np.concatenate([x[0] for x in out] or [np.zeros(0, np.uint64)]).astype(np.int64)
+            yield pd.DataFrame({"token": token} | {c: np.repeat(np.array([x[j] for x in out], kind), sizes).astype(np.dtype(kind.__name__.removeprefix("u"))) for j, (c, kind) in enumerate((("k", np.int64), ("n", np.int32), ("fp", np.uint64)), 1)})
 
-    return docs.select("text").mapInPandas(run, "token long, k long, n int")
+    return docs.select("text").mapInPandas(run, "token long, k long, n int, fp long")
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,25 +172,31 @@ def _checked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def similar_links(docs: DataFrame, shingle: int, least: float, components) -> DataFrame:
     """(a, b) keys; they connect all texts that are similar enough, and only such."""
-    rows = prefixes(docs, shingle, least).repartition("token").sortWithinPartitions("token", "k")
+    rows = prefixes(docs, shingle, least).repartition(partitions(docs), "token").sortWithinPartitions("token", "k")
+
+    def joined(pdf: pd.DataFrame, part: np.ndarray | None) -> Iterator[pd.DataFrame]:
+        """Pairs by the buckets' tries; part: only those that differ in it."""
+        token, k, n, fp = (pdf[c].to_numpy() for c in ("token", "k", "n", "fp"))
+        fp = fp.astype(np.uint64)
+        order = np.lexsort((k, fp, token))
+        for i, j in trie_pairs(token[order], fp[order], BITS, None if part is None else part[order]):
+            i, j = order[i], order[j]
+            ok = _sizes(n, i, j, least)
+            yield _frame(k, n, i[ok], j[ok])
 
     def bring(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Pairs of small buckets; members of large ones, paired with one of them."""
         for pdf in _runs(batches):
             token, k, n = (pdf[c].to_numpy() for c in ("token", "k", "n"))
             first, last = _bounds(token)
-            big = np.repeat(last - first > BUCKET, last - first)
-            for d in range(1, BUCKET):
-                i = np.flatnonzero((token[:-d] == token[d:]) & ~big[d:])
-                if not i.size:
-                    break
-                i = i[_sizes(n, i, i + d, least)]
-                yield _frame(k, n, i, i + d).assign(token=0, large=False)
+            some = np.repeat((last - first > 1) & (last - first <= BUCKET), last - first)
+            for pairs in joined(pdf[some], None):
+                yield pairs.assign(token=0, fp=0, large=False)
             for i, j in zip(first[last - first > BUCKET].tolist(), last[last - first > BUCKET].tolist(), strict=True):
                 one = i + int(np.argmin(k[i:j].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-                yield pd.DataFrame({"a": k[i:j], "b": k[one], "na": n[i:j], "nb": n[one], "token": token[i:j], "large": True})
+                yield pd.DataFrame({"a": k[i:j], "b": k[one], "na": n[i:j], "nb": n[one], "token": token[i:j], "fp": pdf["fp"].to_numpy()[i:j], "large": True})
 
-    found = written(rows.mapInPandas(bring, f"{_PAIR}, na int, nb int, token long, large boolean"), "candidates")
+    found = written(rows.mapInPandas(bring, f"{_PAIR}, na int, nb int, token long, fp long, large boolean"), "candidates")
     up, down = F.col("a") < F.col("b"), F.col("a") > F.col("b")
     ordered = found.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(down, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(up, F.col("nb")).otherwise(F.col("na")).alias("nb"), "large")
     pairs = written(ordered.groupBy("a", "b", "na", "nb").count().filter(_enough(least)).select("a", "b"), "pairs")
@@ -201,28 +212,19 @@ def similar_links(docs: DataFrame, shingle: int, least: float, components) -> Da
         return written(_checked(pairs, written(sets.dropDuplicates(["k"]), "sets"), least), "links")
 
     links = checked(pairs)
-    large = found.filter("large").select("token", F.col("a").alias("k"), F.col("na").alias("n"))
+    large = found.filter("large").select("token", F.col("a").alias("k"), F.col("na").alias("n"), "fp")
     if not large.limit(1).count():
         return links
     tops = components(links)
     of = tops.unionByName(tops.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "_n")
-    parts = large.join(small(written(of, "parts")), F.col("k") == F.col("_n"), "left").select("token", "k", "n", F.coalesce("root", "k").alias("part"))
+    parts = large.join(small(written(of, "parts")), F.col("k") == F.col("_n"), "left").select("token", "k", "n", "fp", F.coalesce("root", "k").alias("part"))
 
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Pairs of a large bucket that no links connect yet."""
         for pdf in _runs(batches):
-            token, k, n, part = (pdf[c].to_numpy() for c in ("token", "k", "n", "part"))
-            for first, last in zip(*_bounds(token), strict=True):
-                if (part[first:last] == part[first]).all():
-                    continue
-                step = max(1, PAIRS // (last - first))
-                for top in range(first, last, step):
-                    i, j = np.nonzero(np.arange(top, min(last, top + step))[:, None] < np.arange(first, last))
-                    i, j = i + top, j + first
-                    ok = (part[i] != part[j]) & _sizes(n, i, j, least)
-                    yield _frame(k, n, i[ok], j[ok])
-
-    late = parts.repartition("token").sortWithinPartitions("token", "k").mapInPandas(rest, f"{_PAIR}, na int, nb int").withColumn("large", F.lit(True))
+            yield from joined(pdf, pdf["part"].to_numpy())
+
+    late = parts.repartition(partitions(docs), "token").sortWithinPartitions("token", "k").mapInPandas(rest, f"{_PAIR}, na int, nb int").withColumn("large", F.lit(True))
     # What a pair shares in small buckets counts too; only pairs of large buckets are new.
     both = late.unionByName(ordered.filter("NOT large")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("count"), F.max("large").alias("large"))
     more = written(both.filter(F.col("large") & _enough(least)).join(pairs, ["a", "b"], "left_anti").select("a", "b"), "more")
