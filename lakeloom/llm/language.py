@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import columns
+
 BUCKETS = 1 << 15
 #: Characters that are scored together, which bounds a worker's memory; a longer text is scored alone.
 CHUNK = 1 << 18
@@ -148,5 +150,5 @@ def identify(docs: DataFrame, sample: int = 4000) -> DataFrame:
 
 def accepted(docs: DataFrame, least: float = 0.5, sample: int = 4000) -> DataFrame:
     """The rows of `docs` whose text has a language with a posterior of `least` or more."""
-    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), _learned(docs, sample).alias("_p"))
+    out = docs.select(F.struct(*columns(docs)).alias("_row"), _learned(docs, sample).alias("_p"))
     return out.filter((F.col("_p.lang_pred") != "und") & (F.col("_p.score") >= least)).select("_row.*")

@@ -6,7 +6,7 @@ once more in part: documents in the order of a keyed hash until the words of the
 at which they end is taken in part (`taken`) or whole if that brings the source nearer to its target (`repeats`).
 
 Nulls: a null text has no words; null is a source of its own and comes last. A document without words is never
-taken. Equal rows count one by one. An empty table gives an empty result. Columns named as ours are replaced.
+taken. Equal rows count one by one. An empty table gives an empty result. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, small, written
+from .common import SPACE, columns, small, unused, written
 
 #: Bits of the hash that one pass over the sizes settles; 60 bits in all.
 _BITS = 12
@@ -93,9 +93,11 @@ def repeated(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), shar
     Rows that share a doc_id and a source are decided alike.
     """
     _, plan = _plan(docs, weights, share, max_epochs, seed)
-    plan = plan.select(*[F.col(c).alias(f"_p{c}") for c in plan.columns])
+    p = unused(docs, "plan")
+    plan = plan.select(F.struct("*").alias(p))
+    own = lambda c: F.col(f"{p}.{c}")
     h, size = keyed_order(F.col("doc_id"), seed), words(F.col("text"))
-    extra = (h < F.col("_p_cut")) | ((h == F.col("_p_cut")) & ((F.col("_p_rest") - F.col("_p_before")) * 2 >= size))
-    times = F.when(size == 0, 0).otherwise(F.col("_p_whole") + extra.cast("int")).cast("int")
-    out = docs.join(small(plan), docs["source"].eqNullSafe(F.col("_psource"))).withColumn("_k", F.explode(F.array_repeat(F.lit(0), times)))
-    return out.select(*docs.columns)
+    extra = (h < own("_cut")) | ((h == own("_cut")) & ((own("_rest") - own("_before")) * 2 >= size))
+    times = F.when(size == 0, 0).otherwise(own("_whole") + extra.cast("int")).cast("int")
+    out = docs.join(small(plan), F.col("source").eqNullSafe(own("source")))
+    return out.select(*columns(docs), F.explode(F.array_repeat(F.lit(0), times)).alias(p)).select(*columns(docs))

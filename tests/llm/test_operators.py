@@ -388,6 +388,18 @@ def test_rows_go_one_by_one(spark, none, stage):
     assert stage(df.limit(0)).count() == 0 and stage(none).count() == 0
 
 
+@pytest.mark.parametrize("stage", [mixing.repeated, language.accepted])
+def test_stages_keep_columns_of_any_name(spark, none, stage):
+    text = " ".join(WORDS)
+    rows = [(k, f"{text} {k}", "en", "s", *[k] * 14) for k in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, `a.b` int, _k int, plan int, plan_ int, _cut int, _psource int, _row int, _p int, _whole int, size int, _h int, `q``t` int, taken int, target int")
+    out = stage(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert {r[0] for r in got} == {1, 2, 3} and all(set(r[4:]) == {r[0]} for r in got)
+    assert stage(df.limit(0)).count() == 0 and stage(none).count() == 0
+
+
 def test_language(spark, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     odd = spark.createDataFrame([(10**6, None, "en", None, 0), (10**6 + 1, "123 !!", "en", "x", 6), (10**6 + 2, "", None, "x", 0)], docs.schema)
