@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,9 +69,30 @@ def writing(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again, which cuts its lineage."""
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written within goes at its end, but for what is to be kept, which goes with the scope around, if any."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Writes a table to the shared folder and reads it again, which cuts its lineage. `keep`: see `scratch`."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    if len(_SCOPES) > keep:
+        _SCOPES[-1 - keep].append(path)
     with writing(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -126,10 +148,18 @@ def columns(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
-def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """The rows, written, with a number each, and the name of its column."""
-    row = unused(docs, "row")
-    return written(docs.select("*", F.monotonically_increasing_id().alias(row)), label), row
+def located(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The rows with a locator each (a struct of file, by a hash of its path, and row), and the name of its column.
+
+    Rows that don't come straight from files are written first.
+    """
+    name = unused(docs, "at")
+    try:
+        out = docs.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(name))
+        out.schema  # analysed here
+        return out, name
+    except AnalysisException:
+        return written(docs.select("*", F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row")).alias(name)), label, keep=True), name
 
 
 def tokenizer_path(name: str) -> str:

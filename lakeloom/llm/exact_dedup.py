@@ -22,10 +22,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, exists, new_path, partitions, small, unused, writing
+from .common import columns, delete, exists, located, new_path, scratch, small, writing, written
 
 _LAST = (1 << 63) - 1
-_DIGESTS = "doc_id long, ord long, n_points long, digest string, part int, row long"
+_DIGESTS = "doc_id long, ord long, n_points long, digest string, part int, row long, at struct<file:long,row:long>"
 _GROUPS = "digest string, group_size long, keep_id long, keep_part int, keep_row long"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -58,16 +58,17 @@ class Deduplicator:
             n += 1
         return n
 
-    def texts(self, part: int) -> tuple[DataFrame, str]:
-        """The documents of a set with all their columns, and the column with their row numbers, the last one."""
-        df = self.spark.read.parquet(f"{self.home}/texts-{part}")
-        return df, df.columns[-1]
+    def texts(self, part: int) -> DataFrame:
+        """doc_id, text, at and row of the documents of a set."""
+        return self.spark.read.parquet(f"{self.home}/texts-{part}")
 
     def add(self, docs: DataFrame) -> int:
-        """Adds a set of documents; its part."""
+        """Adds a set of documents (doc_id and text; at, if it has one, is kept with their digests); its part."""
         part = self.parts()
+        at = F.col("at") if "at" in docs.columns else F.lit(None)
+        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", at.cast("struct<file:long,row:long>").alias("at"), F.monotonically_increasing_id().alias("row"))
         with writing(self.spark):
-            docs.select("*", F.monotonically_increasing_id().alias(unused(docs, "row"))).write.mode("overwrite").parquet(f"{self.home}/texts-{part}")
+            own.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.home}/texts-{part}")
         self._advance(part)
         if self._differing(part) and not self.strong:
             self.spark.createDataFrame([(part,)], "since int").write.parquet(f"{self.home}/strong")
@@ -78,18 +79,18 @@ class Deduplicator:
         return part
 
     def _advance(self, part: int) -> None:
-        texts, row = self.texts(part)
         digest, strong = self.digest, self.strong
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 own = [bare(t) for t in b["text"]]
-                yield pd.DataFrame({"digest": [digest(t) + (sha256(t) + hashlib.blake2b(t).hexdigest() if strong else "") for t in own], "n_points": [len(t or "") for t in b["text"]], "doc_id": b["doc_id"], "row": b["row"]})
+                yield pd.DataFrame({"digest": [digest(t) + (sha256(t) + hashlib.blake2b(t).hexdigest() if strong else "") for t in own], "n_points": [len(t or "") for t in b["text"]], "row": b["row"]} | {k: b[k] for k in ("doc_id", "file", "place")})
 
-        plain = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(row).alias("row")).mapInPandas(run, "digest string, n_points long, doc_id long, row long")
-        plain.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("ord"), "n_points", "digest", F.lit(part).alias("part"), "row").write.mode("append").parquet(self._state("rows"))
+        plain = self.texts(part).select("doc_id", "text", F.col("at.file").alias("file"), F.col("at.row").alias("place"), "row").mapInPandas(run, "digest string, n_points long, row long, doc_id long, file long, place long")
+        at = F.struct("file", F.col("place").alias("row")).alias("at")
+        plain.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("ord"), "n_points", "digest", F.lit(part).alias("part"), "row", at).write.mode("append").parquet(self._state("rows"))
         conf = self.spark.conf
-        keys = {"spark.sql.streaming.stateStore.providerClass": _ROCKS, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}  # many small stores: no room set aside for each
+        keys = {"spark.sql.streaming.stateStore.providerClass": _ROCKS, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false", "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8", "spark.sql.streaming.stateStore.maintenanceInterval": "5s"}  # many small stores: little room set aside for each, and they are closed soon after the query ends
         before = {k: conf.get(k, None) for k in keys}
         for k, v in keys.items():
             conf.set(k, v)
@@ -120,9 +121,8 @@ class Deduplicator:
 
         found = None
         for k in range(part + 1):
-            texts, row = self.texts(k)
             own = places.filter(F.col("part") == k).select("digest", F.col("row").alias("_at"))
-            read = texts.select("text", F.col(row).alias("_row")).join(small(own), F.col("_row") == F.col("_at")).select("digest", "text").mapInPandas(run, "digest string, bytes binary")
+            read = self.texts(k).select("text", "row").join(small(own), F.col("row") == F.col("_at")).select("digest", "text").mapInPandas(run, "digest string, bytes binary")
             found = read if found is None else found.unionByName(read)
         # Copies meet in each task before they are dealt out.
         return bool(found.groupBy("digest", "bytes").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count())
@@ -142,12 +142,12 @@ class Deduplicator:
 
 
 def _decided(state: Deduplicator) -> DataFrame:
-    """doc_id, digest, part, row, keep_id, group_size, kept of all documents added."""
+    """doc_id, digest, at, keep_id, group_size, kept of all documents added."""
     shared = small(state.groups().filter("group_size > 1").withColumnRenamed("digest", "_d"))
     rows = state.rows().join(shared, F.col("digest") == F.col("_d"), "left")
     alone = F.col("_d").isNull()
     kept = alone | (F.col("part") == F.col("keep_part")) & (F.col("row") == F.col("keep_row"))
-    return rows.select("doc_id", "digest", "part", "row", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"))
+    return rows.select("doc_id", "digest", "at", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"))
 
 
 def decide(docs: DataFrame) -> DataFrame:
@@ -159,7 +159,10 @@ def decide(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay."""
+    rows, at = located(docs, "rows")
     state = Deduplicator(docs.sparkSession)
-    texts, row = state.texts(state.add(docs))
-    gone = small(_decided(state).filter(~F.col("kept")).select(F.col("row").alias(row)))
-    return texts.join(gone, row, "left_anti").select(*columns(docs))
+    with scratch(docs.sparkSession):
+        state.add(rows.select("doc_id", "text", F.col(at).alias("at")))
+        gone = written(_decided(state).filter(~F.col("kept")).select(F.col("at").alias(at)), "gone", keep=True)
+    delete(docs.sparkSession, state.home)
+    return rows.join(small(gone), at, "left_anti").select(*columns(docs))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import similar
-from .common import columns, numbered, partitions, small, written
+from .common import columns, located, partitions, scratch, small, written
 from .trie import majority, trie_forest
 
 #: Distinct fingerprints that a bucket holds before it is dealt out again.
@@ -158,16 +158,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, seed: int
 def settled(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """`prints` (doc_id, fp) with component_id, from what `links` makes of the distinct fp."""
     prints = written(prints, "prints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
-    roots = components(links(distinct.select("fp")))
-    own = distinct.join(roots, F.col("fp") == F.col("node"))
-    whole = own.groupBy("root").agg(F.min("least").alias("m"))
-    # The root itself is linked but has no row of its own in `roots`.
-    tops = distinct.join(whole, F.col("fp") == F.col("root")).select("root", F.least("least", "m").alias("component"))
-    of = own.join(tops.withColumnRenamed("root", "_r"), F.col("root") == F.col("_r")).select("fp", "component").unionByName(tops.select(F.col("root").alias("fp"), "component"))
-    # Fingerprints of one document without links need no table.
-    table = distinct.join(of.withColumnRenamed("fp", "_f"), F.col("fp") == F.col("_f"), "left").filter("n > 1 OR component IS NOT NULL")
-    table = written(table.select(F.col("fp").alias("_fp"), F.coalesce("component", "least").alias("_c")), "table")
+    with scratch(prints.sparkSession):
+        distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
+        roots = components(links(distinct.select("fp")))
+        own = distinct.join(roots, F.col("fp") == F.col("node"))
+        whole = own.groupBy("root").agg(F.min("least").alias("m"))
+        # The root itself is linked but has no row of its own in `roots`.
+        tops = distinct.join(whole, F.col("fp") == F.col("root")).select("root", F.least("least", "m").alias("component"))
+        of = own.join(tops.withColumnRenamed("root", "_r"), F.col("root") == F.col("_r")).select("fp", "component").unionByName(tops.select(F.col("root").alias("fp"), "component"))
+        # Fingerprints of one document without links need no table.
+        table = distinct.join(of.withColumnRenamed("fp", "_f"), F.col("fp") == F.col("_f"), "left").filter("n > 1 OR component IS NOT NULL")
+        table = written(table.select(F.col("fp").alias("_fp"), F.coalesce("component", "least").alias("_c")), "table", keep=True)
     return prints.join(small(table), F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", F.coalesce("_c", "doc_id").alias("component_id"))
 
 
@@ -175,10 +176,12 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     """The rows of `docs` with the smallest doc_id of their component; of rows that share it, or have none, the first.
 
     Links are pairs whose sets of word shingles have at least that Jaccard similarity, found by the trie join within
-    the buckets of similar.py and checked exactly. Rows go by their number, so repeated and null ids are no matter.
+    the buckets of similar.py and checked exactly. Rows go by their locators, so repeated and null ids are no matter.
     """
-    rows, row = numbered(docs, "rows")
-    prints = similar.keys(rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("ord"), F.col(row).alias("row"), "text"))
-    top = settled(prints.select(F.struct("ord", "row").alias("doc_id"), "fp"), lambda _: similar.similar_links(rows, shingle, similarity, components))
-    gone = top.filter("doc_id.row <> component_id.row").select(F.col("doc_id.row").alias(row))
-    return rows.join(small(written(gone, "gone")), row, "left_anti").select(*columns(docs))
+    rows, at = located(docs, "rows")
+    with scratch(docs.sparkSession):
+        prints = similar.keys(rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("ord"), F.col(f"{at}.file").alias("file"), F.col(f"{at}.row").alias("row"), "text"))
+        top = settled(prints.select(F.struct("ord", "file", "row").alias("doc_id"), "fp"), lambda _: similar.similar_links(docs, shingle, similarity, components))
+        gone = top.filter("doc_id <> component_id").select(F.struct("doc_id.file", "doc_id.row").alias(at))
+        gone = written(gone, "gone", keep=True)
+    return rows.join(small(gone), at, "left_anti").select(*columns(docs))

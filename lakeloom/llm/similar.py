@@ -32,7 +32,7 @@ from .trie import majority, trie_pairs
 #: Bits that fingerprints may differ in: see above.
 BITS = 26
 #: Texts up to which a bucket gives all its pairs at once; rows read at a time.
-BUCKET, ROWS = 32, 1 << 17
+BUCKET, ROWS = 32, 1 << 15
 #: Texts of the sample, and how many of them have a common shingle.
 SAMPLE, COMMON = 5000, 8
 _PAIR = "a long, b long"
@@ -53,15 +53,19 @@ def shingles(text: str | None, shingle: int) -> tuple[int, np.ndarray]:
     return key, np.unique(np.fromiter((h(line[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n))
 
 
+def key(text: str | None) -> int:
+    k = xxhash.xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), 7)
+    return k - ((k >> 63) << 64)
+
+
 def keys(rows: DataFrame) -> DataFrame:
-    """ord, row (passed on) and fp, the key of the text."""
+    """ord, file, row (passed on) and fp, the key of the text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            k = [xxhash.xxh64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()), 7) for t in b["text"]]
-            yield pd.DataFrame({"ord": b["ord"], "row": b["row"], "fp": np.array(k, np.uint64).astype(np.int64)})
+            yield b[["ord", "file", "row"]].assign(fp=np.array([key(t) for t in b["text"]], np.int64))
 
-    return rows.mapInPandas(run, "ord long, row long, fp long")
+    return rows.mapInPandas(run, "ord long, file long, row long, fp long")
 
 
 def common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,15 +205,24 @@ def similar_links(docs: DataFrame, shingle: int, least: float, components) -> Da
     ordered = found.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(down, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(up, F.col("nb")).otherwise(F.col("na")).alias("nb"), "large")
     pairs = written(ordered.groupBy("a", "b", "na", "nb").count().filter(_enough(least)).select("a", "b"), "pairs")
 
+    def keyed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series(np.array([key(t) for t in b], np.int64))
+
+    keyed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for b in batches:
-            both = [shingles(t, shingle) for t in b["text"]]
-            yield pd.DataFrame({"k": [k for k, _ in both], "s": [s.tobytes() for _, s in both]})
+            some = b[~(b["k"].duplicated() | b["k"].isin(seen))]
+            seen.update(some["k"].tolist())
+            yield pd.DataFrame({"k": some["k"], "s": [shingles(t, shingle)[1].tobytes() for t in some["text"]]})
 
     def checked(pairs: DataFrame) -> DataFrame:
         ids = written(pairs.select(F.explode(F.array("a", "b")).alias("_k")).distinct(), "ids")
-        sets = docs.select("text").mapInPandas(whole, "k long, s binary").join(small(ids), F.col("k") == F.col("_k"), "left_semi")
-        return written(_checked(pairs, written(sets.dropDuplicates(["k"]), "sets"), least), "links")
+        own = docs.select("text", F.pandas_udf(keyed, "long")(F.col("text")).alias("k")).join(small(ids), F.col("k") == F.col("_k"), "left_semi")
+        sets = written(own.mapInPandas(whole, "k long, s binary").dropDuplicates(["k"]), "sets")
+        return written(_checked(pairs, sets, least), "links")
 
     links = checked(pairs)
     large = found.filter("large").select("token", F.col("a").alias("k"), F.col("na").alias("n"), "fp")

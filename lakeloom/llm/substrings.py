@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import front
-from .common import bucketed, partition_keys, partitions, written
+from .common import bucketed, partition_keys, partitions, scratch, written
 
 #: Bytes of an anchor: enough that texts seldom share them by chance.
 K = 50
 #: Bytes of text (or of strings) that a task combines before it passes rows on, and bytes whose hashes are held at once.
-BATCH, PIECE = 1 << 24, 1 << 19
+BATCH, PIECE = 1 << 23, 1 << 19
 #: Windows that a task combines; rows that are looked at together; windows of a string at most.
 WINDOWS, ROWS, CHUNK = 1 << 18, 1 << 17, 1024
 #: Strings of a block, strings that a merge holds before it settles some, and strings of the sample for each partition.
@@ -477,12 +477,17 @@ def merged(runs: DataFrame, parts: int) -> DataFrame:
 
 def repeats(texts: DataFrame, length: int = 100) -> DataFrame:
     """rid, first, last: stretches of bytes, which may overlap, that repeat what starts earlier. `texts`: see `stored`."""
+    with scratch(texts.sparkSession):
+        return _repeats(texts, length)
+
+
+def _repeats(texts: DataFrame, length: int) -> DataFrame:
     found = written(candidates(anchors(texts, length)), "anchors")
     more = written(candidates(windows(texts, found.filter("lrid < 0"), length)).filter("lrid >= 0"), "windows")
     items = written(strings(found.filter("lrid >= 0").unionByName(more)), "strings")
     parts = partitions(texts)
     split = splitters(texts, items, length, parts)
-    return written(merged(suffix_runs(texts, items, length, split, partition_keys(texts.sparkSession, parts)), parts), "repeats")
+    return written(merged(suffix_runs(texts, items, length, split, partition_keys(texts.sparkSession, parts)), parts), "repeats", keep=True)
 
 
 def stored(docs: DataFrame) -> DataFrame:

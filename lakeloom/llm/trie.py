@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Node pairs that are traversed at once.
-FRONT = 1 << 19
+FRONT = 1 << 17
 
 
 def majority(hashes: np.ndarray) -> int:
