@@ -468,6 +468,23 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Exact order beyond 64 bits, large ones as queries and as candidates, ties to the smaller vec_id."""
+    import math
+    from fractions import Fraction
+
+    r = random.Random(9)
+    rows = [(k, [r.choice((1e30, -1e30, 3.5, 0.25, 1e12, 1e300)) if k % 7 == 0 else round(r.uniform(-2, 2), 2) for _ in range(3)]) for k in range(90)] + [(200, [1e30, 0.0, 0.0]), (201, [1e30, 0.0, 0.0]), (220, [0.0, 5.0, 0.0]), (220, [2.0, 5.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    whole = [(i, [math.floor(Fraction(x) * 64) for x in v]) for i, v in rows]
+    want = []
+    for q, x in whole:
+        if q % 20 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), c) for c, y in whole if c != q)[:20]
+            want += [(q, k + 1, c, min(max(-s, -(2**63)), 2**63 - 1)) for k, (s, c) in enumerate(scored)]
+    assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(want)
+
+
 def test_pipeline(spark, tmp_path):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
