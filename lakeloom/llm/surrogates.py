@@ -4,10 +4,12 @@ A surrogate depends on the key, the entity's type and its canonical form, so tha
 every text and in every way of writing it; separators, case, digits and letters of the same script stay where they
 were. An IP address becomes another, an email address one under the reserved domain `example`, a name after a title
 one of the title's gender. The canonical forms of all entities of the corpus are checked: where two of a type would
-share a surrogate, or one would equal an entity of the corpus, the later ones are keyed again until none does.
+share a surrogate, or one would equal an entity of the corpus, the later ones are keyed again until none does; after
+some attempts their surrogates become longer with each, so there is room for any number.
 
 Null texts stay null with no entities; texts without entities stay as they are. Very long texts are read whole. Equal
-rows are treated alike. An empty table gives no rows. All columns of the input are kept; `n_entities` is added or replaced.
+rows are treated alike, and ids play no part. An empty table gives no rows. All columns of the input are kept, whatever their
+names; `n_entities` is added or replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small, written
+from .common import columns, located, scratch, small, unused, written
+
+#: Attempts after which surrogates become longer.
+LONGER = 4
 
 # Formats of what is looked for, in the order in which they are tried at a place.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -129,28 +134,31 @@ def entities(values: Column, key: str, attempt: Callable[[Column, Column], Colum
     title = rf"^(?:{_MALE}|{_FEMALE})\.? "
     a = F.transform(values, lambda v: F.struct(v.alias("v"), kind(v).alias("t")))
     a = F.transform(a, lambda x: F.struct(x["v"].alias("v"), x["t"].alias("t"), canonical(x["t"], x["v"]).alias("f")))
-    a = F.transform(a, lambda x: F.struct(x["v"].alias("v"), x["t"].alias("t"), x["f"].alias("f"), _digest(key, x["t"], x["f"], attempt(x["t"], x["f"]), "").alias("d"), _digest(key, F.lit("domain"), F.regexp_extract(x["f"], "@(.*)$", 1), F.lit(0), "").alias("m")))
+    a = F.transform(a, lambda x: F.struct(x["v"].alias("v"), x["t"].alias("t"), x["f"].alias("f"), attempt(x["t"], x["f"]).alias("a")))
+    a = F.transform(a, lambda x: F.struct(x["v"].alias("v"), x["t"].alias("t"), x["f"].alias("f"), x["a"].alias("a"), _digest(key, x["t"], x["f"], x["a"], "").alias("d"), _digest(key, F.lit("domain"), F.regexp_extract(x["f"], "@(.*)$", 1), F.lit(0), "").alias("m")))
 
     def made(x: Column) -> Column:
         v, t, d, m = x["v"], x["t"], x["d"], x["m"]
-        email = F.concat(_like(F.regexp_extract(v, "^([^@]*)@", 1), d, F.lit(False), F.lit(0)), F.lit("@"), *[_letter(LETTERS["latin"], _number(m, 3 * k)) for k in range(10)], F.lit(".example"))
-        octets = F.concat_ws(".", *[(_number(d, 5 * k) % 254 + 1).cast("string") for k in range(4)])
-        person = F.concat(F.regexp_extract(v, f"({title})", 1), _name(t, F.regexp_replace(v, title, ""), d))
+        more = lambda ch: F.when(x["a"] < LONGER, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(LONGER), F.greatest(x["a"], F.lit(LONGER))), lambda k: ch(_number(d, 60 + 7 * k))), ""))
+        digit, letter = (lambda n: (n % 10).cast("string")), (lambda n: _letter(LETTERS["latin"], n))
+        email = F.concat(_like(F.regexp_extract(v, "^([^@]*)@", 1), d, F.lit(False), F.lit(0)), more(letter), F.lit("@"), *[_letter(LETTERS["latin"], _number(m, 3 * k)) for k in range(10)], F.lit(".example"))
+        octets = F.concat_ws(".", *[(_number(d, 5 * k) % 254 + 1).cast("string") for k in range(4)], F.when(x["a"] >= LONGER, more(digit)))
+        person = F.concat(F.regexp_extract(v, f"({title})", 1), _name(t, F.regexp_replace(v, title, ""), d), more(letter))
         first = F.when(t == "iban", 2).when((t == "phone") & v.startswith("+"), 1).otherwise(0)
-        other = _like(v, d, (t == "secret") & v.rlike("^[0-9a-fA-F]+$"), first)
+        other = F.concat(_like(v, d, (t == "secret") & v.rlike("^[0-9a-fA-F]+$"), first), more(digit))
         return F.when(t == "email", F.when(v == F.upper(v), F.upper(email)).otherwise(email)).when(t == "ip", octets).when(t.isin("man", "woman"), person).otherwise(other)
 
     a = F.transform(a, lambda x: F.struct(x["v"].alias("v"), x["t"].alias("t"), x["f"].alias("f"), made(x).alias("s")))
     return F.transform(a, lambda x: F.struct(x["v"].alias("v"), x["t"].alias("t"), x["f"].alias("f"), x["s"].alias("s"), canonical(x["t"], x["s"]).alias("g")))
 
 
-def exceptions(docs: DataFrame, key: str, tries: int = 30) -> DataFrame | None:
+def exceptions(docs: DataFrame, key: str) -> DataFrame | None:
     """(type, form, attempt) of the entities whose first surrogate is taken; None if there are none."""
     each = docs.filter(F.col("text").rlike(_HINT)).select(F.explode(F.array_distinct(found(F.col("text")))).alias("v"))
     # A value may be written in several ways; one of them stands for its form.
     forms = each.groupBy("v").agg(F.lit(0).alias("attempt")).withColumn("type", kind(F.col("v"))).withColumn("form", canonical(F.col("type"), F.col("v")))
     forms = written(forms.groupBy("type", "form").agg(F.min("v").alias("v"), F.lit(0).alias("attempt")), "entities")
-    for _ in range(tries):
+    while True:
         now = forms.select("type", "form", "v", "attempt", entities(F.array("v"), key, lambda t, f: F.col("attempt"))[0]["g"].alias("s"))
         now = written(now, "surrogates")
         # One that has kept its surrogate so far keeps it; a form of the corpus is nobody's surrogate.
@@ -162,26 +170,27 @@ def exceptions(docs: DataFrame, key: str, tries: int = 30) -> DataFrame | None:
         if not moved.limit(1).count():
             break
         forms = written(now.drop("s").join(moved.select("type", "form"), ["type", "form"], "left_anti").select("type", "form", "v", "attempt").unionByName(moved), "entities")
-    else:
-        raise ValueError(f"no distinct surrogates after {tries} attempts")
-    again = forms.filter("attempt > 0").select("type", "form", "attempt")
+    again = written(forms.filter("attempt > 0").select("type", "form", "attempt"), "again", keep=True)
     return again if again.limit(1).count() else None
 
 
 def replace(docs: DataFrame, key: str) -> DataFrame:
     """`docs` with surrogates in `text`, and n_entities."""
-    again = exceptions(docs, key)
-    columns = [c for c in docs.columns if c != "n_entities"]
+    with scratch(docs.sparkSession):
+        again = exceptions(docs, key)
+    e, m = unused(docs, "entities"), unused(docs, "again")
     out = docs
     if again is not None:
-        own = docs.filter(F.col("text").rlike(_HINT)).select("doc_id", F.explode(F.array_distinct(found(F.col("text")))).alias("_v")).withColumn("_t", kind(F.col("_v"))).withColumn("_f", canonical(F.col("_t"), F.col("_v")))
-        hits = own.join(small(again), (F.col("_t") == F.col("type")) & (F.col("_f") == F.col("form"))).groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set(F.struct(F.concat_ws("\x1f", "type", "form").alias("k"), "attempt")).alias("_again"))
-        out = docs.join(small(written(hits, "again"), 20_000), docs["doc_id"].eqNullSafe(F.col("_d")), "left")
-        tries = F.map_from_entries(F.coalesce("_again", F.array().cast("array<struct<k:string,attempt:int>>")))
-    out = out.withColumn("_e", F.coalesce(found(F.col("text")), F.array().cast("array<string>")))
+        rows, at = located(docs, "rows")
+        own = rows.filter(F.col("text").rlike(_HINT)).select(at, F.explode(F.array_distinct(found(F.col("text")))).alias("_v")).withColumn("_t", kind(F.col("_v"))).withColumn("_f", canonical(F.col("_t"), F.col("_v")))
+        hits = own.join(small(again), (F.col("_t") == F.col("type")) & (F.col("_f") == F.col("form"))).groupBy(at).agg(F.collect_set(F.struct(F.concat_ws("\x1f", "type", "form").alias("k"), "attempt")).alias(m))
+        out = rows.join(small(written(hits, "again"), 20_000), at, "left")
+        tries = F.map_from_entries(F.coalesce(m, F.array().cast("array<struct<k:string,attempt:int>>")))
+    out = out.withColumn(e, F.coalesce(found(F.col("text")), F.array().cast("array<string>")))
 
     attempt = (lambda t, f: F.lit(0)) if again is None else (lambda t, f: F.coalesce(F.try_element_at(tries, F.concat_ws("\x1f", t, f)), F.lit(0)))
     parts = F.split("text", _any(), -1)
-    pieces = F.zip_with(parts, entities(F.col("_e"), key, attempt), lambda a, b: F.array(a, F.coalesce(b["s"], F.lit(""))))
-    text = F.when(F.size("_e") == 0, F.col("text")).otherwise(F.concat_ws("", F.flatten(pieces)))
-    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in columns], F.size("_e").alias("n_entities"))
+    pieces = F.zip_with(parts, entities(F.col(e), key, attempt), lambda a, b: F.array(a, F.coalesce(b["s"], F.lit(""))))
+    text = F.when(F.size(e) == 0, F.col("text")).otherwise(F.concat_ws("", F.flatten(pieces)))
+    kept = [text.alias("text") if name == "text" else c for name, c in zip(docs.columns, columns(docs), strict=True) if name != "n_entities"]
+    return out.select(*kept, F.size(e).alias("n_entities"))

@@ -452,6 +452,19 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert not firsts & {f"10.0.{k}.1" for k in range(30)}
 
 
+def test_surrogates_where_there_is_no_room(spark, none):
+    """All 26 addresses of one letter; repeated and null ids; columns of the names used inside don't leak."""
+    rows = [(None if k % 2 else 1, f"{chr(97 + k)}@x.com and Bob", *[k] * 8) for k in range(26)] + [(3, None, *[26] * 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _e int, _d int, _again int, at int, entities int, again int, `a.b` int, n_entities int")
+    out = surrogates.replace(df, "key")
+    assert out.columns == df.columns
+    got = sorted(out.collect(), key=lambda r: r[2])
+    assert all(set(r[2:9]) == {k} for k, r in enumerate(got)) and [r[9] for r in got] == [1] * 26 + [0]
+    new = [re.match(r"(\w+)@\w+\.example and Bob$", r[1])[1] for r in got[:26]]
+    assert len(set(new)) == 26 and got[26][1] is None
+    assert surrogates.replace(df.limit(0), "key").count() == 0
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(k, [float(x) for x in rng.normal(size=8).round(2)], 0) for k in range(150)] + [(200 + k, [0.5] * 8, 0) for k in range(60)]
