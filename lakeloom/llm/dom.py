@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 # Fixed values of HTML: elements without content, with raw content, that break the line, and that end an open p.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object textarea select title head".split())
+RAW = frozenset("script style template iframe textarea select title head".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -19,8 +20,8 @@ _SCOPE = {"p": BLOCK - {"p"}, "li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _RAW_END = {t: re.compile(f"</{t}(?=[\\s/>])[^>]*>", re.I) for t in RAW}
 _HEAD_END = re.compile(r"</head(?=[\s/>])[^>]*>|<(?=(?:body|div|p|article|main|header|nav|h1|table|section)[\s>])", re.I)
-#: Elements nested deeper hold their text in the last one above.
-DEPTH = 200
+#: Elements whose text is not of the lines around it.
+LINES = BLOCK | {"noscript"}
 
 
 class Page:
@@ -31,7 +32,7 @@ class Page:
     def __init__(self, source: str | None):
         self.parent, self.tag, self.attrs, self.depth = [-1], ["root"], [""], [0]
         self.text, self.linked, self.end = [""], [0], []
-        stack = [0]
+        stack, open_ = [0], Counter()
         held: list[str] = []
         linked = links = 0
         at, s = 0, source or ""
@@ -51,6 +52,10 @@ class Page:
                 if links:
                     linked += len(part.strip())
 
+        def close(k: int) -> None:
+            open_.subtract(self.tag[x] for x in stack[k:])
+            del stack[k:]
+
         while m := _TAG.search(s, at):
             keep(s[at : m.start()])
             at = m.end()
@@ -59,14 +64,16 @@ class Page:
                 continue
             name, closing = name.lower(), bool(m[1] or m[4])
             if closing:
-                if name in BLOCK or name == "br":
+                if name in LINES or name == "br":
                     flush()
+                if not open_[name]:
+                    continue
                 if name == "a":
                     links = max(0, links - 1)
                 for k in range(len(stack) - 1, 0, -1):
                     tag = self.tag[stack[k]]
                     if tag == name:
-                        del stack[k:]
+                        close(k)
                         break
                     if name not in BLOCK and tag in BLOCK or name == "p" and tag in _SCOPE["p"]:
                         break  # an inline end tag doesn't end a block
@@ -80,15 +87,17 @@ class Page:
                     e = _RAW_END[name].search(s, at)
                     at = e.end() if e else len(s) if name in ("script", "style", "textarea") else at
                 continue
-            if name in BLOCK or name == "br":
+            if name in LINES or name == "br":
                 flush()
                 for old in _ENDS.get(name, ()):
+                    if not open_[old]:
+                        continue
                     for k in range(len(stack) - 1, 0, -1):
                         tag = self.tag[stack[k]]
                         if tag == old:
                             if any(self.tag[x] == "a" for x in stack[k:]):
                                 links = 0
-                            del stack[k:]
+                            close(k)
                             break
                         if tag in _SCOPE[old]:
                             break
@@ -96,8 +105,8 @@ class Page:
                 continue
             if name == "a":
                 links = 1
-            if len(stack) < DEPTH:
-                stack.append(self._add(name, attrs, stack[-1], "", 0))
+            stack.append(self._add(name, attrs, stack[-1], "", 0))
+            open_[name] += 1
         keep(s[at:])
         flush()
         n = len(self.parent)
@@ -110,7 +119,7 @@ class Page:
     def _owner(self, stack: list[int]) -> int:
         """Place in the stack of the nearest element that breaks the line."""
         for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] in BLOCK:
+            if self.tag[stack[k]] in LINES:
                 return k
         return 0
 

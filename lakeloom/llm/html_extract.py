@@ -1,7 +1,7 @@
 """Main text of web pages by gradient-boosted trees over DOM nodes, decoded down the tree.
 
-Each element and each block of text is a node with features: its tag, tokens of its attributes and of its ancestors',
-depth, place among its siblings, and length, density and links of the text below it. Trees trained here, on pages
+Each element and each block of text is a node with features: its tag, tokens of its attributes and of its ancestors'
+(hashed, and by what designers use them for), depth, place among its siblings, and length, density and links of the text below it. Trees trained here, on pages
 made from a rule (`training_pages`), give the probability that a node holds text of the article. The labelling of
 highest likelihood in which no node holds such text unless its parent does is found from the leaves up; its blocks
 are the main text.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,7 +38,7 @@ MARKS = {
     "comment": "comment comments commentlist reply replies respond responses disqus discussion thread reader readers review reviews",
     "share": "share sharing social follow facebook twitter tools toolbar print tags meta byline",
 }
-TAGS = ["#", "p", "div", "article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "a", "h1", "h2", "h3", "table", "td", "blockquote", "figure", "figcaption", "span", "b", "body", "label", "button", "pre", "dialog"]
+TAGS = ["#", "p", "div", "article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "a", "h1", "h2", "h3", "table", "td", "blockquote", "figure", "figcaption", "span", "b", "body", "label", "button", "pre", "dialog", "noscript", "object", "svg", "math"]
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _VALUE = re.compile(r"""(?:class|id|role|itemprop|aria-label|data-role|name)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORDS: dict[str, int] = {}
@@ -48,12 +49,16 @@ _TAG_MARK = {"nav": 1 << 1, "menu": 1 << 1, "footer": 1 << 3, "aside": 1 << 4, "
 _TAG_AT = {t: k for k, t in enumerate(TAGS)}
 
 
+#: Features for the hashes of any attribute tokens; their bits come behind those of MARKS.
+HASHED = 24
+
+
 @lru_cache(maxsize=20_000)
 def _marks(attrs: str) -> int:
     found = 0
     for v in _VALUE.findall(attrs):
         for t in _TOKEN.findall(v):
-            found |= _WORDS.get(t.lower(), 0)
+            found |= _WORDS.get(t.lower(), 0) | 1 << len(MARKS) + zlib.crc32(t.lower().encode()) % HASHED
     return found
 
 
@@ -96,7 +101,9 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x = [tag, tag[parent], tag[up], depth, rank, family[parent], family, np.log1p(text), np.log1p(text[parent]), text / np.maximum(page, 1), before / np.maximum(page, 1), links / np.maximum(text, 1), points / np.maximum(text, 1), points, text / nodes, text / np.maximum(blocks, 1), headed, links[parent] / np.maximum(text[parent], 1), text[parent] / np.maximum(blocks[parent], 1), inside]
     for k in range(len(MARKS)):
         x += [mark >> k & 1, above >> k & 1, mark[parent] >> k & 1]
-    for t in ("#", "p", "article", "main", "header", "footer", "nav", "aside", "form", "a", "li"):
+    for k in range(len(MARKS), len(MARKS) + HASHED):
+        x += [mark >> k & 1, above >> k & 1]
+    for t in ("#", "p", "article", "main", "header", "footer", "nav", "aside", "form", "a", "li", "noscript"):
         x += [tag == _TAG_AT[t], tag[parent] == _TAG_AT[t]]
     return np.stack([np.asarray(v, np.float32) for v in x], 1), parent, depth
 
@@ -234,6 +241,8 @@ def training_pages(n: int, seed: int) -> Iterator[tuple[str, list[str]]]:
             return f"<form{attr('form', 0.5)}><label>{line(1, 4)}</label><p>{say()}</p><input name=q><button>{word()}</button></form>"
         if kind == "comment":
             return comments()
+        if kind == "notice" and rng.random() < 0.3:
+            return rng.choice(("<noscript>{}</noscript>", "<noscript><p>{}</p></noscript>", "<noscript><div>{}</div></noscript>")).format(say())
         return f"<{(t := rng.choice(('div', 'div', 'section', 'p', 'aside')))}{attr(kind, 0.97)}>{rng.choice(('<p>{}</p>', '{}', '<span>{}</span>', '{} <a href=#>more</a>')).format(say())}</{t}>"
 
     for _ in range(n):
@@ -246,6 +255,10 @@ def training_pages(n: int, seed: int) -> Iterator[tuple[str, list[str]]]:
                 return f"<p><b>{text}<br>"
             if tag == "p" and style < 0.22:
                 return f"<p>{text}"
+            if tag == "p" and style < 0.26:
+                w = text.split()
+                k = rng.randrange(len(w))
+                return f"<p>{' '.join(w[:k])} <{(t := rng.choice(('math', 'svg', 'object')))}><{(u := rng.choice(('mi', 'text', 'span')))}>{w[k]}</{u}></{t}> {' '.join(w[k + 1 :])}</p>"
             if tag == "p" and style < 0.3:
                 w = text.split()
                 k = rng.randrange(len(w))
@@ -283,6 +296,9 @@ def training_pages(n: int, seed: int) -> Iterator[tuple[str, list[str]]]:
             article = f"<div>{''.join(body)}</div>"
         if rng.random() < 0.3:
             article = f"<{(t := rng.choice(('main', 'div', 'section')))}{attr('body', 0.5)}>{article}{comments() if rng.random() < 0.2 else ''}</{t}>"
+        if rng.random() < 0.1:
+            deep = rng.randint(2, 40)
+            article = f"{'<div>' * deep}{article}{'</div>' * deep}"
         front = [junk(rng.choice(("menu", "menu", "head", "head", "advert", "notice", "form", "share", "side"))) for _ in range(rng.randint(1, 5))]
         back = [junk(rng.choice(("foot", "foot", "side", "comment", "comment", "advert", "menu", "form", "share", "notice"))) for _ in range(rng.randint(1, 5))]
         end = rng.choice(("</body></html>", "</body></html>", ""))

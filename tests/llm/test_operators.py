@@ -235,6 +235,39 @@ def test_html_extraction(spark):
     assert [r["text"] for r in out[1:3]] == ["", ""] and out[3]["n_chars"] == 11 * 50_000 - 1
 
 
+@pytest.mark.parametrize("deep", [10, 250, 1000])
+def test_html_nested_deep(deep):
+    """Elements without end keep what follows them; contents of math, object and svg belong to their lines."""
+    lines = "The first paragraph of an article, with words enough to be one, and a comma.", "Area is <math><mi>x</mi>=2</math> always, as <object>any reader</object> of the <svg><text>text</text></svg> knows.", "The paragraph after them, which is no less a part of the article than the first."
+    page = f"<html><body><nav><ul><li><a href=/a>Home</a></li></ul></nav><article><p>{lines[0]}</p>{'<div>' * deep}<p>{lines[1]}</p>{'</div>' * deep}<p>{lines[2]}</p></article><footer>foot</footer></body></html>"
+    want = "\n".join(re.sub("<[^>]*>", "", x) for x in lines)
+    assert html_extract.main_texts([page], html_extract.trained()) == [want]
+
+
+def page(*inside, before="", after=""):
+    return f"<!doctype html><html><head><title>t</title><script>var a = '<p>no</p>';</script></head><body>{before}{''.join(inside)}{after}</body></html>"
+
+
+_A, _B = "Rivers carry water from the hills to the sea, and with it the soil of many fields.", "In spring the snow melts, the banks flood, and the meadows are green for months &mdash; or so they say."
+_MENU, _FOOT = '<nav class="navbar"><ul><li><a href="/">Home</a></li><li><a href="/x">News</a></li></ul></nav>', '<footer><p>&copy; 2024 The Paper</p></footer>'
+#: Pages written by hand, and the blocks of their articles.
+LABELLED = [
+    (page(f"<article><h1>Rivers</h1><p>{_A}</p><p>{_B}</p></article>", before=_MENU, after=_FOOT), ["Rivers", _A, _B]),
+    (page(f'<div id="content"><h2>Rivers and fields</h2><p>{_A}</p><p>{_B}</p></div>', before=_MENU, after=_FOOT), ["Rivers and fields", _A, _B]),
+    (page(f"<main><h1>Rivers</h1><p>{_A}</p><blockquote><p>{_B}</p></blockquote></main>", before=_MENU, after='<div class="comments"><h3>Comments</h3><div class="comment"><p>I like this one very much, thank you for it.</p></div></div>' + _FOOT), ["Rivers", _A, _B]),
+    (page(f'<div class="post-body"><p>{_A}</p><div class="advert"><p>Buy our boats now, at half the price!</p></div><p>{_B}</p></div>', before=_MENU, after='<aside class="sidebar"><h3>Popular</h3><ul><li><a href=/1>One</a></li></ul></aside>' + _FOOT), [_A, _B]),
+    (page(f"<article><h1>Rivers</h1><p>{_A}</p><ul><li>water that comes from the hills</li><li>soil of the fields</li></ul><p>{_B}</p></article>", before='<div class="cookie-notice"><p>We use cookies. <button>OK</button></p></div>' + _MENU, after=_FOOT), ["Rivers", _A, "water that comes from the hills", "soil of the fields", _B]),
+    (page(f"<article><p>{_A}</p><p>{_B}</p></article>", before=_MENU + '<form class="search"><label>Search</label><input name=q><button>Go</button></form>', after='<section class="newsletter"><form><p>Subscribe to our newsletter today.</p></form></section>' + _FOOT), [_A, _B]),
+]
+
+
+def test_html_pages_written_by_hand():
+    import html
+
+    got = html_extract.main_texts([s for s, _ in LABELLED], html_extract.trained())
+    assert got == ["\n".join(map(html.unescape, b)) for _, b in LABELLED]
+
+
 def brute_components(texts, shingle=3, bits=3):
     import xxhash
 
