@@ -94,7 +94,7 @@ def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     if len(_SCOPES) > keep:
         _SCOPES[-1 - keep].append(path)
     with writing(spark):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

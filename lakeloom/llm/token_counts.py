@@ -1,9 +1,10 @@
 """Token counts that follow edits.
 
-A document's pre-tokens are kept in a segment tree: its leaves hold some pre-tokens each, with their characters and
-tokens, its inner nodes sums. An edit (a range of characters and what replaces it) finds the leaves that it touches by
-the sums, encodes their text again from the last pre-token that the edit can't change, until a pre-token begins where
-one began before behind the edit, and updates the sums above. The rest of the text isn't encoded again.
+`trees` keeps a row for each document: its text and, for each pre-token, characters and tokens, from which a segment
+tree is set up without encoding: its leaves hold some pre-tokens each with their text, its inner nodes sums. An edit (a range of characters and what replaces it) finds the leaves that it touches by
+the sums, encodes their text again, with as many leaves behind them as it takes until a pre-token begins where a leaf
+began before, and updates the sums above; leaves that become large are split. The rest of the text is neither encoded nor copied. The edited
+rows can be kept and edited again.
 
 Null texts and edits count as empty; edits without a document are ignored. Edits of a document are applied in order of
 `start` from the last, so that places are those of the text before; edits that overlap one behind them are skipped,
@@ -21,38 +22,56 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tokenizer_path
+from .common import tokenizer_path, written
 from .tokens import Vocabulary, vocabulary
 
-#: Pre-tokens of a leaf when a tree is built.
-LEAF = 32
+#: Pre-tokens of a leaf when it is made, and those that it may come to have.
+LEAF, FULL = 32, 128
+#: Characters beyond a place that decide whether a pre-token ends there.
+AHEAD = 4
 
 
 class TokenTree:
     """Sums of characters and tokens over leaves of pre-tokens; node k has the children 2k and 2k + 1."""
 
     def __init__(self, text: str, words: Vocabulary, lens: np.ndarray, toks: np.ndarray):
-        self.words, self.text = words, text
-        at = np.arange(0, lens.size, LEAF)
-        self.lens: list = [lens[i : i + LEAF] for i in at] or [[]]
-        self.toks: list = [toks[i : i + LEAF] for i in at] or [[]]
-        sums = [np.add.reduceat(x, at).tolist() if at.size else [0] for x in (lens, toks)]
+        self.words, self.encoded = words, 0
+        self.leaves = self._made(text, lens, toks) or [("", lens, toks)]
+        self._sum()
+
+    @staticmethod
+    def _made(text: str, lens: np.ndarray, toks: np.ndarray, size: int = LEAF) -> list[tuple[str, np.ndarray, np.ndarray]]:
+        """Leaves of so many pre-tokens: their text, and characters and tokens of each."""
+        at = np.arange(0, lens.size, size)
+        cuts = [0, *np.cumsum(np.add.reduceat(lens, at)).tolist()] if at.size else []
+        return [(text[s:e], lens[i : i + size], toks[i : i + size]) for i, s, e in zip(at.tolist(), cuts, cuts[1:], strict=False)]
+
+    def _sum(self) -> None:
         self.n = 1
-        while self.n < len(self.lens):
+        while self.n < len(self.leaves):
             self.n *= 2
-        pad = self.n - len(self.lens)
-        self.lens += [[] for _ in range(pad)]
-        self.toks += [[] for _ in range(pad)]
-        self.chars, self.tokens = ([0] * self.n + x + [0] * pad for x in sums)
+        pad = [0] * (self.n - len(self.leaves))
+        self.chars = [0] * self.n + [len(t) for t, _, _ in self.leaves] + pad
+        self.tokens = [0] * self.n + [int(x.sum()) for _, _, x in self.leaves] + pad
         for k in range(self.n - 1, 0, -1):
             self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
             self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
-        self.encoded = 0
 
     @property
     def total(self) -> int:
         return self.tokens[1]
 
+    @property
+    def size(self) -> int:
+        return self.chars[1]
+
+    @property
+    def text(self) -> str:
+        return "".join(t for t, _, _ in self.leaves)
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([x for _, x, _ in self.leaves]), np.concatenate([x for _, _, x in self.leaves])
+
     def leaf(self, at: int) -> tuple[int, int]:
         """The leaf that holds the character at `at`, and where it starts; the last one that holds any beyond the end."""
         k, start = 1, 0
@@ -63,10 +82,10 @@ class TokenTree:
                 k += 1
         return k - self.n, start
 
-    def _set(self, leaf: int, lens: list[int], toks: list[int]) -> None:
-        self.lens[leaf], self.toks[leaf] = lens, toks  # lists from here on
+    def _set(self, leaf: int, own: tuple[str, np.ndarray, np.ndarray]) -> None:
+        self.leaves[leaf] = own
         k = leaf + self.n
-        self.chars[k], self.tokens[k] = sum(lens), sum(toks)
+        self.chars[k], self.tokens[k] = len(own[0]), int(own[2].sum())
         while k > 1:
             k //= 2
             self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
@@ -74,63 +93,43 @@ class TokenTree:
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replaces characters [start, end). A pre-token looks at most two characters beyond its own."""
-        old = self.text
-        self.text = old[:start] + new + old[end:]
-        shift = len(new) - (end - start)
-        leaf, at = self.leaf(max(0, start - 3))
+        first, at = self.leaf(max(0, start - 3))
         while at > 0 and at > start - 3:
-            leaf, at = self.leaf(at - 1)
-        i = 0
-        while i < len(self.lens[leaf]) and at + self.lens[leaf][i] + 2 <= start:
-            at += self.lens[leaf][i]
-            i += 1
-        head = i
-        # Old beginnings of pre-tokens from here on, leaf by leaf; the new ones come in windows of growing size.
-        last, j, old_at = leaf, i, at
-        made_lens: list[int] = []
-        made_toks: list[int] = []
-        now, size = at, end + shift - at + 64
-        done = now >= len(self.text)
-        while not done:
-            window = self.text[now : now + size]
-            whole = now + size >= len(self.text)
-            lens, toks = self.words.split([window])[0]
-            self.encoded += len(window)
-            k = 0
-            # The last pre-tokens of a window may go on behind it.
-            stop = len(lens) if whole else int(np.searchsorted(np.cumsum(lens), len(window) - 2, "right"))
-            while k < stop:
-                while old_at < end or old_at + shift < now:
-                    while last < self.n - 1 and j >= len(self.lens[last]):
-                        last, j = last + 1, 0
-                    if j >= len(self.lens[last]):
-                        break
-                    old_at += int(self.lens[last][j])
-                    j += 1
-                if old_at >= end and old_at + shift == now:
-                    break
-                made_lens.append(int(lens[k])), made_toks.append(int(toks[k]))
-                now += int(lens[k])
+            first, at = self.leaf(at - 1)
+        last, stop, more = first, at + len(self.leaves[first][0]), 1
+        while True:
+            while stop < end:
+                last += 1
+                stop += len(self.leaves[last][0])
+            old = "".join(t for t, _, _ in self.leaves[first : last + 1])
+            region = old[: start - at] + new + old[end - at :]
+            ahead, k = "", last + 1
+            while len(ahead) < AHEAD and k < len(self.leaves):
+                ahead += self.leaves[k][0][:AHEAD]
                 k += 1
-            done = k < stop or now >= len(self.text)
-            if not stop:
-                size *= 4
-        if now >= len(self.text):
-            last, j = self.n - 1, len(self.lens[self.n - 1])
-        tail = list(self.lens[last][j:]), list(self.toks[last][j:])
-        lens, toks = [*self.lens[leaf][:head], *made_lens], [*self.toks[leaf][:head], *made_toks]
-        if last == leaf:
-            self._set(leaf, lens + tail[0], toks + tail[1])
-            return
-        self._set(leaf, lens, toks)
-        for k in range(leaf + 1, last):
-            if len(self.lens[k]):
-                self._set(k, [], [])
-        self._set(last, *tail)
+            lens, toks = self.words.split([region + ahead])[0]
+            self.encoded += len(region) + len(ahead)
+            ends = np.cumsum(lens)
+            n = int(np.searchsorted(ends, len(region), "right"))
+            if not ahead or not region or n and ends[n - 1] == len(region):
+                break
+            # A pre-token goes on behind the region: take in more leaves.
+            for _ in range(min(more, len(self.leaves) - 1 - last)):
+                last += 1
+                stop += len(self.leaves[last][0])
+            more *= 2
+        lens, toks, slots = lens[:n], toks[:n], last - first + 1
+        if n <= slots * FULL:
+            made = self._made(region, lens, toks, max(LEAF, -(-n // slots)))
+            for k in range(slots):
+                self._set(first + k, made[k] if k < len(made) else ("", lens[:0], toks[:0]))
+        else:
+            self.leaves[first : last + 1] = self._made(region, lens, toks)
+            self._sum()
 
 
 def _apply(tree: TokenTree, edits: list[tuple[int, int, str]]) -> int:
-    done, limit = 0, len(tree.text)
+    done, limit = 0, tree.size
     for start, end, new in sorted(edits, key=lambda e: (-e[0], -e[1])):
         if 0 <= start <= end <= limit:
             tree.edit(start, end, new or "")
@@ -138,39 +137,77 @@ def _apply(tree: TokenTree, edits: list[tuple[int, int, str]]) -> int:
     return done
 
 
-_COUNTS = "doc_id long, n_tokens long, n_edits int, n_tokens_edited long, n_chars_edited long, n_chars_encoded long"
+_TREES = "doc_id long, text string, lens binary, toks binary"
+_EDITED = f"{_TREES}, n_tokens long, n_edits int, n_tokens_edited long, n_chars_edited long, n_chars_encoded long"
+COUNTS = ["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_chars_edited", "n_chars_encoded"]
 
 
-def count_edited(docs: DataFrame, edits: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """_COUNTS of each document. `edits`: doc_id, start, end (characters) and replacement."""
-    lists = edits.filter("start IS NOT NULL AND end IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "replacement")).alias("edits")).withColumnRenamed("doc_id", "_d")
-    rows = docs.select("doc_id", "text").join(lists, F.col("doc_id") == F.col("_d"), "left").select("doc_id", "text", "edits")
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers, in a byte each where they fit; the first byte says which."""
+    return b"\1" + x.astype(np.uint8).tobytes() if not x.size or x.max() < 256 else b"\4" + x.astype("<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, "<u4" if x[0] == 4 else np.uint8, offset=1).astype(np.int64)
+
+
+def trees(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """_TREES of each document, to be written and kept."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words = vocabulary(tokenizer or tokenizer_path("byte_bpe_50k.json"))
         for b in batches:
-            yield _counted(words, b["doc_id"], b["text"], [[] if e is None else [(int(x["start"]), int(x["end"]), x["replacement"]) for x in e] for e in b["edits"]])
+            both = words.split([t or "" for t in b])
+            yield pd.DataFrame({"lens": [_packed(x) for x, _ in both], "toks": [_packed(x) for _, x in both]})
 
-    return rows.mapInPandas(run, _COUNTS)
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.pandas_udf(run, "lens binary, toks binary")(F.col("text")).alias("_t"))
+    return out.select("doc_id", "text", "_t.lens", "_t.toks")
 
 
-def _counted(words: Vocabulary, docs: pd.Series, texts: pd.Series, edits: list[list[tuple[int, int, str]]]) -> pd.DataFrame:
+def _edited(words: Vocabulary, b: pd.DataFrame, edits: list[list[tuple[int, int, str]]]) -> pd.DataFrame:
     out = []
-    texts = [t or "" for t in texts]
-    for doc, text, own, (lens, toks) in zip(docs, texts, edits, words.split(texts), strict=True):
-        tree = TokenTree(text, words, lens, toks)
-        before = tree.total
+    for doc, text, lens, toks, own in zip(b["doc_id"], b["text"], b["lens"], b["toks"], edits, strict=True):
+        sizes = _unpacked(toks)
+        before = int(sizes.sum())
+        if not own:
+            out.append((doc, text, lens, toks, before, 0, before, len(text), 0))
+            continue
+        tree = TokenTree(text, words, _unpacked(lens), sizes)
         n = _apply(tree, own)
-        out.append((doc, before, n, tree.total, len(tree.text), tree.encoded))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _COUNTS.split(", ")])
+        out.append((doc, tree.text, *map(_packed, tree.arrays()), before, n, tree.total, tree.size, tree.encoded))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in _EDITED.split(", ")])
 
 
-def count_replaced(docs: DataFrame, pattern: str, replacement: str, tokenizer: str | None = None) -> DataFrame:
-    """_COUNTS where the edits put `replacement` for each match of `pattern` (Python) in a text; in one pass, without a join."""
+def edited(kept: DataFrame, edits: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """_EDITED: the rows of `trees` after the edits (doc_id, start, end in characters, replacement), and their counts."""
+    lists = edits.filter("start IS NOT NULL AND end IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "replacement")).alias("edits")).withColumnRenamed("doc_id", "_d")
+    rows = kept.join(lists, F.col("doc_id") == F.col("_d"), "left").select("doc_id", "text", "lens", "toks", "edits")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = vocabulary(tokenizer or tokenizer_path("byte_bpe_50k.json"))
+        for b in batches:
+            yield _edited(words, b, [[] if e is None else [(int(x["start"]), int(x["end"]), x["replacement"]) for x in e] for e in b["edits"]])
+
+    return rows.mapInPandas(run, _EDITED)
+
+
+def replaced(kept: DataFrame, pattern: str, replacement: str, tokenizer: str | None = None) -> DataFrame:
+    """_EDITED where the edits put `replacement` for each match of `pattern` (Python) in a text; in one pass, without a join."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, found = vocabulary(tokenizer or tokenizer_path("byte_bpe_50k.json")), re.compile(pattern)
         for b in batches:
-            yield _counted(words, b["doc_id"], b["text"], [[(m.start(), m.end(), replacement) for m in found.finditer(t or "")] for t in b["text"]])
+            yield _edited(words, b, [[(m.start(), m.end(), replacement) for m in found.finditer(t)] for t in b["text"]])
 
-    return docs.select("doc_id", "text").mapInPandas(run, _COUNTS)
+    return kept.select("doc_id", "text", "lens", "toks").mapInPandas(run, _EDITED)
+
+
+def count_edited(docs: DataFrame, edits: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """COUNTS of each document after `edits`."""
+    return edited(written(trees(docs, tokenizer), "trees"), edits, tokenizer).select(COUNTS)
+
+
+def count_replaced(docs: DataFrame, pattern: str, replacement: str, tokenizer: str | None = None) -> DataFrame:
+    """COUNTS of each document after the edits of `replaced`."""
+    return replaced(written(trees(docs, tokenizer), "trees"), pattern, replacement, tokenizer).select(COUNTS)

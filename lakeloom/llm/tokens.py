@@ -77,9 +77,14 @@ class Vocabulary:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
         byte = _byte_letters()
-        # An id of this vocabulary is its merge's rank, so the merges need no table of their own.
+        # Where ids of a byte-level vocabulary rise with the merges that make them, ids are ranks; others are left to the library.
+        made = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model.get("merges", [])]
+        self.ranked = model["type"] == "BPE" and "ByteLevel" in json.dumps(whole.get("pre_tokenizer")) and not whole.get("normalizer") and len(made) > 0 and min(made) >= 256 and all(a < b for a, b in zip(made, made[1:], strict=False))
+        if not self.ranked:
+            return
         ranks = {bytes(byte[ch] for ch in t): i for t, i in model["vocab"].items() if t not in self.special}
         self.merges = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         rng = np.random.default_rng(5)
@@ -160,6 +165,8 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit numbers."""
+        if not self.ranked:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         own = [k for k, t in enumerate(texts) if t and self.plain(t)]
         for group, first, _, entry in self._cut_of(texts, own):
@@ -177,6 +184,8 @@ class Vocabulary:
 
     def split(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each text the lengths of its pre-tokens and their numbers of tokens; special strings are ordinary text."""
+        if not self.ranked:
+            raise ValueError("pre-tokens are known for byte-level BPE only, with ids in the order of merges")
         none = np.zeros(0, np.int32)
         out = [(none, none)] * len(texts)
         own = [k for k, t in enumerate(texts) if t and not _OTHER.search(t)]

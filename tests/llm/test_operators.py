@@ -149,6 +149,43 @@ def test_token_trees(seed):
     v.tokenizer.encode_special_tokens = False
 
 
+def test_edits_of_kept_trees(spark, docs, none):
+    """The query's path against encoding what Python's re makes; a second round of edits encodes their surroundings only."""
+    v = vocabulary(tokenizer_path("byte_bpe_50k.json"))
+    size = lambda t: int(v.split([t])[0][1].sum())
+    kept = token_counts.written(token_counts.trees(docs), "trees")
+    once = token_counts.written(token_counts.replaced(kept, r"river|st\w+", "[x] y"), "trees")
+    for r in once.collect():
+        t = next(x[1] for x in made() if x[0] == r["doc_id"]) or ""
+        new = re.sub(r"river|st\w+", "[x] y", t)
+        assert (r["n_tokens"], r["text"], r["n_tokens_edited"], r["n_edits"]) == (size(t), new, size(new), len(re.findall(r"river|st\w+", t)))
+        lens, toks = v.split([new])[0]
+        assert token_counts._unpacked(r["lens"]).tolist() == lens.tolist() and token_counts._unpacked(r["toks"]).tolist() == toks.tolist()
+    again = token_counts.replaced(once, "^.", "Q").collect()
+    assert all(r["n_tokens_edited"] == size(r["text"]) and r["n_chars_encoded"] <= 2 * 32 * 12 + 5000 * (r["doc_id"] == 12) for r in again)
+    assert {r[0]: r[1:] for r in token_counts.count_replaced(docs, "river", "lake").collect()}.keys() == {r[0] for r in made()}
+    assert token_counts.count_replaced(none, "a", "b").count() == 0
+
+
+def test_long_texts_with_many_edits():
+    """Leaves stay small, and each edit encodes some of them only."""
+    v = vocabulary(tokenizer_path("byte_bpe_50k.json"))
+    text = "some words of a text, " * 20_000
+    tree = token_counts.TokenTree(text, v, *v.split([text])[0])
+    for k in range(300):
+        tree.edit(1000, 1000, "put in here, again. " * 10)
+    assert tree.total == int(v.split([tree.text])[0][1].sum()) and max(x.size for _, x, _ in tree.leaves) <= 2 * token_counts.FULL
+    assert tree.encoded < 300 * 2500
+
+
+def test_other_vocabularies_are_left_to_the_library():
+    from lakeloom.llm import tokens
+
+    v = tokens.Vocabulary(tokenizer_path("word_bpe_49k.json"))
+    texts = ["Some words, and more.", "", "x" * 50]
+    assert not v.ranked and [x.tolist() for x in v.encode(texts)] == [v.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_more_pre_tokens_than_the_table_holds(monkeypatch):
     """In one text, between texts that fit; before, the table had no place for them."""
     from lakeloom.llm import tokens
