@@ -32,7 +32,7 @@ _SHIPPED: set[str] = set()
 
 
 #: Rows and bytes of a batch that goes to a Python worker: whole texts are long, so the defaults would hold too many.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 20_000, 8 << 20
 
 
 def ship(spark: SparkSession) -> None:

@@ -180,8 +180,8 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     """
     rows, at = located(docs, "rows")
     with scratch(docs.sparkSession):
-        prints = similar.keys(rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("ord"), F.col(f"{at}.file").alias("file"), F.col(f"{at}.row").alias("row"), "text"))
-        top = settled(prints.select(F.struct("ord", "file", "row").alias("doc_id"), "fp"), lambda _: similar.similar_links(docs, shingle, similarity, components))
+        prints = written(similar.keys(rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("ord"), F.col(f"{at}.file").alias("file"), F.col(f"{at}.row").alias("row"), "text")), "keys")
+        top = settled(prints.select(F.struct("ord", "file", "row").alias("doc_id"), "fp"), lambda _: similar.similar_links(rows, at, prints, shingle, similarity, components))
         gone = top.filter("doc_id <> component_id").select(F.struct("doc_id.file", "doc_id.row").alias(at))
         gone = written(gone, "gone", keep=True)
     return rows.join(small(gone), at, "left_anti").select(*columns(docs))

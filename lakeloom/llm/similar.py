@@ -174,8 +174,8 @@ def _checked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return out.join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb").mapInPandas(run, _PAIR)
 
 
-def similar_links(docs: DataFrame, shingle: int, least: float, components) -> DataFrame:
-    """(a, b) keys; they connect all texts that are similar enough, and only such."""
+def similar_links(docs: DataFrame, at: str, prints: DataFrame, shingle: int, least: float, components) -> DataFrame:
+    """(a, b) keys; they connect all texts that are similar enough, and only such. at: locators; prints: see `keys`."""
     rows = prefixes(docs, shingle, least).repartition(partitions(docs), "token").sortWithinPartitions("token", "k")
 
     def joined(pdf: pd.DataFrame, part: np.ndarray | None) -> Iterator[pd.DataFrame]:
@@ -205,24 +205,16 @@ def similar_links(docs: DataFrame, shingle: int, least: float, components) -> Da
     ordered = found.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(down, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(up, F.col("nb")).otherwise(F.col("na")).alias("nb"), "large")
     pairs = written(ordered.groupBy("a", "b", "na", "nb").count().filter(_enough(least)).select("a", "b"), "pairs")
 
-    def keyed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            yield pd.Series(np.array([key(t) for t in b], np.int64))
-
-    keyed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
         for b in batches:
-            some = b[~(b["k"].duplicated() | b["k"].isin(seen))]
-            seen.update(some["k"].tolist())
-            yield pd.DataFrame({"k": some["k"], "s": [shingles(t, shingle)[1].tobytes() for t in some["text"]]})
+            yield pd.DataFrame({"k": b["k"], "s": [shingles(t, shingle)[1].tobytes() for t in b["text"]]})
 
     def checked(pairs: DataFrame) -> DataFrame:
         ids = written(pairs.select(F.explode(F.array("a", "b")).alias("_k")).distinct(), "ids")
-        own = docs.select("text", F.pandas_udf(keyed, "long")(F.col("text")).alias("k")).join(small(ids), F.col("k") == F.col("_k"), "left_semi")
-        sets = written(own.mapInPandas(whole, "k long, s binary").dropDuplicates(["k"]), "sets")
-        return written(_checked(pairs, sets, least), "links")
+        # One text of each key, by its locator.
+        one = prints.join(small(ids), F.col("fp") == F.col("_k")).groupBy(F.col("fp").alias("k")).agg(F.min(F.struct("file", "row")).alias("_at"))
+        sets = docs.select(at, "text").join(small(written(one, "ids")), F.col(at) == F.col("_at")).select("k", "text").mapInPandas(whole, "k long, s binary")
+        return written(_checked(pairs, written(sets, "sets"), least), "links")
 
     links = checked(pairs)
     large = found.filter("large").select("token", F.col("a").alias("k"), F.col("na").alias("n"), "fp")

@@ -7,7 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Node pairs that are traversed at once.
-FRONT = 1 << 17
+FRONT = 1 << 14
+#: Fingerprints up to which the counts of each bit are kept.
+_KEPT = 1 << 16
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -30,7 +32,7 @@ def _all(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> Iter
         yield x[x < y], y[x < y]
 
 
-def trie_pairs(bucket: np.ndarray, fp: np.ndarray, bits: int, label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(bucket: np.ndarray, fp: np.ndarray, bits: int, label: np.ndarray | None = None, joins: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (x, y) of fingerprints of one bucket that differ in at most `bits` bits; input sorted by bucket, then fp.
 
     Node pairs of the buckets' binary tries are traversed together; a pair is dropped as soon as its paths differ in
@@ -43,6 +45,18 @@ def trie_pairs(bucket: np.ndarray, fp: np.ndarray, bits: int, label: np.ndarray
     # A node is a run of sorted fingerprints; a pair has two nodes of equal depth, the same one or the left one first.
     stack = [(63, first[live], last[live], first[live], last[live], np.zeros(live.sum(), np.int8))]
 
+    counts: dict[int, np.ndarray] = {}
+    change = None if label is None else np.r_[0, np.cumsum(label[1:] != label[:-1])]
+
+    def ones_at(bit: int) -> np.ndarray:
+        """Before each place, the fingerprints that have the bit."""
+        if bit not in counts:
+            own = np.cumsum(np.r_[0, (fp >> np.uint64(bit)).astype(np.int64) & 1], dtype=np.int32 if n <= _KEPT else np.int64)
+            if n > _KEPT:
+                return own
+            counts[bit] = own
+        return counts[bit]
+
     def apart(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if label is None:
             return x, y
@@ -64,7 +78,8 @@ def trie_pairs(bucket: np.ndarray, fp: np.ndarray, bits: int, label: np.ndarray
         a0, a1, b0, b1, d = (x[~leaf] for x in (a0, a1, b0, b1, d))
         if label is not None and a0.size:
             # Nothing is new below two nodes whose fingerprints all have one label.
-            change = np.r_[0, np.cumsum(label[1:] != label[:-1])]
+            if joins and leaf.any():
+                change = np.r_[0, np.cumsum(label[1:] != label[:-1])]
             whole = (change[a1 - 1] == change[a0]) & (change[b1 - 1] == change[b0]) & (label[a0] == label[b0])
             a0, a1, b0, b1, d = (x[~whole] for x in (a0, a1, b0, b1, d))
         if bit < 0:  # equal fingerprints in each node
@@ -73,7 +88,7 @@ def trie_pairs(bucket: np.ndarray, fp: np.ndarray, bits: int, label: np.ndarray
             continue
         if not a0.size:
             continue
-        ones = np.cumsum(np.r_[0, (fp >> np.uint64(bit)).astype(np.int64) & 1])
+        ones = ones_at(bit)
         am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
         same = a0 == b0
         parts = [(a0, am, b0, bm, d, None), (am, a1, bm, b1, d, None), (a0, am, bm, b1, d + 1, None), (am, a1, b0, bm, d + 1, same)]
@@ -97,7 +112,7 @@ def trie_forest(bucket: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarr
             x = label[x]
         return x
 
-    for x, y in trie_pairs(bucket, fp, bits, label):
+    for x, y in trie_pairs(bucket, fp, bits, label, joins=True):
         for p, q in zip(x.tolist(), y.tolist(), strict=True):
             r, s = root(p), root(q)
             if r != s:
