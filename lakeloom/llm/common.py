@@ -83,9 +83,19 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def _there(spark: SparkSession, path: str):
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, there = _there(spark, path)
+    fs.delete(there, True)
+
+
+def make_dir(spark: SparkSession, path: str) -> None:
+    fs, there = _there(spark, path)
+    fs.mkdirs(there)
 
 
 def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
@@ -131,8 +141,8 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+    fs, there = _there(spark, path)
+    return fs.exists(there)
 
 
 def unused(df: DataFrame, name: str) -> str:

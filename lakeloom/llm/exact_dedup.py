@@ -1,7 +1,7 @@
 """Exact deduplication by a stateful stream.
 
-Documents are written to the shared folder, which gives each a locator: the part (one for each set of documents) and its row
-there. Rows of digest, identifier, size and locator go through a stream with a state for each digest, kept on disk
+Documents are written to the shared folder with their digests, which gives each a locator: the part (one for each set of documents) and its row
+there. Digest, identifier, size and locator go through a stream with a state for each digest, kept on disk
 (RocksDB) and never expired: how many rows had it, and identifier, size and locator of the row that stays. Rows that hit
 a digest are then read by their locators together with the row that stays, and their full bytes are compared. Should
 any differ, the state is built anew from the written documents with two more digests, and the check is made again. The
@@ -22,10 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, delete, exists, located, new_path, scratch, small, writing, written
+from .common import columns, delete, exists, located, make_dir, new_path, scratch, small, writing, written
 
 _LAST = (1 << 63) - 1
+#: Rows for which a store is made.
+STORE = 50_000
 _DIGESTS = "doc_id long, ord long, n_points long, digest string, part int, row long, at struct<file:long,row:long>"
+_ROWS = f"{_DIGESTS}, text string"
 _GROUPS = "digest string, group_size long, keep_id long, keep_part int, keep_row long"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -54,43 +57,44 @@ class Deduplicator:
 
     def parts(self) -> int:
         n = 0
-        while exists(self.spark, f"{self.home}/texts-{n}/_SUCCESS"):
+        while exists(self.spark, f"{self.home}/part-{n}"):
             n += 1
         return n
 
-    def texts(self, part: int) -> DataFrame:
-        """doc_id, text, at and row of the documents of a set."""
-        return self.spark.read.parquet(f"{self.home}/texts-{part}")
-
     def add(self, docs: DataFrame) -> int:
         """Adds a set of documents (doc_id and text; at, if it has one, is kept with their digests); its part."""
         part = self.parts()
         at = F.col("at") if "at" in docs.columns else F.lit(None)
-        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", at.cast("struct<file:long,row:long>").alias("at"), F.monotonically_increasing_id().alias("row"))
-        with writing(self.spark):
-            own.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.home}/texts-{part}")
+        self._digested(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", at.cast("struct<file:long,row:long>").alias("at"), F.lit(part).alias("part"), F.monotonically_increasing_id().alias("row")))
         self._advance(part)
         if self._differing(part) and not self.strong:
             self.spark.createDataFrame([(part,)], "since int").write.parquet(f"{self.home}/strong")
-            for k in range(part + 1):
-                self._advance(k)
+            self._digested(self.spark.read.schema(_ROWS).parquet(f"{self.home}/plain/rows").drop("ord", "n_points", "digest"))
+            self._advance(part)
             if any(self._differing(k) for k in range(part + 1)):
                 raise ValueError("texts that differ have the same three digests")
         return part
 
-    def _advance(self, part: int) -> None:
+    def _digested(self, docs: DataFrame) -> None:
         digest, strong = self.digest, self.strong
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                own = [bare(t) for t in b["text"]]
-                yield pd.DataFrame({"digest": [digest(t) + (sha256(t) + hashlib.blake2b(t).hexdigest() if strong else "") for t in own], "n_points": [len(t or "") for t in b["text"]], "row": b["row"]} | {k: b[k] for k in ("doc_id", "file", "place")})
+                own = [bare(t) for t in b]
+                yield pd.DataFrame({"digest": [digest(t) + (sha256(t) + hashlib.blake2b(t).hexdigest() if strong else "") for t in own], "n_points": [len(t or "") for t in b]})
 
-        plain = self.texts(part).select("doc_id", "text", F.col("at.file").alias("file"), F.col("at.row").alias("place"), "row").mapInPandas(run, "digest string, n_points long, row long, doc_id long, file long, place long")
-        at = F.struct("file", F.col("place").alias("row")).alias("at")
-        plain.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("ord"), "n_points", "digest", F.lit(part).alias("part"), "row", at).write.mode("append").parquet(self._state("rows"))
+        run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+        rows = docs.select("*", F.pandas_udf(run, "digest string, n_points long")(F.col("text")).alias("_d"))
+        rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("ord"), "_d.n_points", "_d.digest", "part", "row", "at", "text")
+        with writing(self.spark):
+            rows.write.mode("append").option("compression", "zstd").parquet(self._state("rows"))
+
+    def _advance(self, part: int) -> None:
         conf = self.spark.conf
-        keys = {"spark.sql.streaming.stateStore.providerClass": _ROCKS, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false", "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8", "spark.sql.streaming.stateStore.maintenanceInterval": "5s"}  # many small stores: little room set aside for each, and they are closed soon after the query ends
+        keys = {"spark.sql.streaming.stateStore.providerClass": _ROCKS, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false", "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8"}  # many small stores: little room set aside for each
+        # Stores for what there is when the state begins; each is on disk and may grow.
+        stores = max(self.spark.sparkContext.defaultParallelism, -(-self.rows().count() // STORE))
+        keys["spark.sql.shuffle.partitions"] = str(stores)
         before = {k: conf.get(k, None) for k in keys}
         for k, v in keys.items():
             conf.set(k, v)
@@ -105,6 +109,8 @@ class Deduplicator:
 
             query = groups.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", self._state("state")).trigger(availableNow=True).start()
             query.awaitTermination()
+            if not exists(self.spark, f"{self.home}/part-{part}"):
+                make_dir(self.spark, f"{self.home}/part-{part}")
         finally:
             for k, v in before.items():
                 conf.unset(k) if v is None else conf.set(k, v)
@@ -119,11 +125,9 @@ class Deduplicator:
             for b in batches:
                 yield pd.DataFrame({"digest": b["digest"], "bytes": [bare(t) for t in b["text"]]}).drop_duplicates()
 
-        found = None
-        for k in range(part + 1):
-            own = places.filter(F.col("part") == k).select("digest", F.col("row").alias("_at"))
-            read = self.texts(k).select("text", "row").join(small(own), F.col("row") == F.col("_at")).select("digest", "text").mapInPandas(run, "digest string, bytes binary")
-            found = read if found is None else found.unionByName(read)
+        own = small(places.select(F.col("digest").alias("_d"), F.col("part").alias("_p"), F.col("row").alias("_at")))
+        texts = self.spark.read.schema(_ROWS).parquet(self._state("rows")).select("part", "row", "text")
+        found = texts.join(own, (F.col("row") == F.col("_at")) & (F.col("part") == F.col("_p"))).select(F.col("_d").alias("digest"), "text").mapInPandas(run, "digest string, bytes binary")
         # Copies meet in each task before they are dealt out.
         return bool(found.groupBy("digest", "bytes").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count())
 

@@ -152,12 +152,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp (signed long) and component_id, the smallest doc_id of those that links reach."""
-    return settled(fingerprints(docs, shingle, seed), lambda fps: near_links(fps, bits))
+    return settled(written(fingerprints(docs, shingle, seed), "prints"), lambda fps: near_links(fps, bits))
 
 
 def settled(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """`prints` (doc_id, fp) with component_id, from what `links` makes of the distinct fp."""
-    prints = written(prints, "prints")
+    """`prints` (doc_id, fp; written) with component_id, from what `links` makes of the distinct fp."""
     with scratch(prints.sparkSession):
         distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
         roots = components(links(distinct.select("fp")))
