@@ -3,7 +3,7 @@
 At 0.8 some ten of 64 SimHash bits differ, too many for blocks of bits that agree to deal fingerprints out. So for
 this join the buckets come from the sets: put into one order, rare shingles first, two sets of that similarity share a
 shingle among the first |x| - ceil(least |x|) + 1 of each, so texts that share one of those are a bucket. The order
-decides about work only, never about results; what is common is guessed from a sample. In each bucket the fingerprints
+decides about work only, never about results; what is common is guessed from a sample of all texts. In each bucket the fingerprints
 are joined by their trie with a budget of BITS differing bits, which drops most of what shares a passage only; and a pair has to share
 as many shingles of its prefixes as similar ones do (see _enough). Every pair that remains is checked with the whole sets.
 
@@ -12,13 +12,14 @@ against 4 of them: 0.19), so more than BITS of 64 differ in less than one of 100
 
 Small buckets give all their pairs within the budget. Large ones first link their members
 to one of them; what then is still in different components there is joined by the trie, which drops node pairs of one component, so that many copies of one
-text don't give the pairs of them all. What a pair shares is counted over all its buckets. Shingles stand by 64-bit hashes, texts by the hash of their words in lower case.
+text don't give the pairs of them all; there sketches of the sets (least hashes of bins) also drop what can't be similar, at five
+standard deviations, and sets are compared at once, so only links leave a bucket. What a pair shares is counted over all its buckets. Shingles stand by 64-bit hashes, texts by the hash of their words in lower case.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,8 +34,9 @@ from .trie import majority, trie_pairs
 BITS = 26
 #: Texts up to which a bucket gives all its pairs at once; rows read at a time.
 BUCKET, ROWS = 32, 1 << 15
-#: Texts of the sample, and how many of them have a common shingle.
-SAMPLE, COMMON = 5000, 8
+#: One of so many texts is in the sample, how many of them have a common shingle, and how many shingles are told apart so
+#: (which bounds what is collected and broadcast; the least frequent ones count as rare beyond it).
+SAMPLE, COMMON, MOST = 8, 4, 1 << 20
 _PAIR = "a long, b long"
 
 
@@ -68,24 +70,31 @@ def keys(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "ord long, file long, row long, fp long")
 
 
-def common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many texts of a sample have, sorted, and how many have each."""
+def common(docs: DataFrame, shingle: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts of a sample have, sorted, and how many have each; the MOST most frequent.
+
+    Of each text of the sample, those that come first by their hashes, twice as many as its prefix has.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"token": np.concatenate([np.zeros(0, np.uint64), *(shingles(t, shingle)[1] for t in b["text"])]).astype(np.int64)})
+            sets = [shingles(t, shingle)[1] for t in b["text"]]
+            yield pd.DataFrame({"token": np.concatenate([np.zeros(0, np.uint64), *(s[: 2 * _prefix(s.size, least)] for s in sets)]).astype(np.int64)})
 
-    every = max(1, docs.count() // SAMPLE)
-    some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).mapInPandas(run, "token long")
-    rows = some.groupBy("token").count().filter(F.col("count") >= COMMON).collect()
+    some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).mapInPandas(run, "token long")
+    rows = some.groupBy("token").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "token").limit(MOST).collect()
     token = np.array([r[0] for r in rows], np.int64).astype(np.uint64)
     order = np.argsort(token)
     return token[order], np.array([r[1] for r in rows], np.int64)[order]
 
 
+def _prefix(n: int, least: float) -> int:
+    return n - math.ceil(least * n - 1e-9) + 1
+
+
 def prefixes(docs: DataFrame, shingle: int, least: float) -> DataFrame:
     """token, k (the text's key), n (size of its set) and fp (its fingerprint); a text once in a task."""
-    often, times = common(docs, shingle)
+    often, times = common(docs, shingle, least)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -100,7 +109,7 @@ def prefixes(docs: DataFrame, shingle: int, least: float) -> DataFrame:
                 if often.size:
                     place = np.minimum(np.searchsorted(often, s), often.size - 1)
                     rank = np.where(often[place] == s, times[place], 0)
-                out.append((s[np.lexsort((s, rank))][: s.size - math.ceil(least * s.size - 1e-9) + 1], k, s.size, majority(s)))
+                out.append((s[np.lexsort((s, rank))][: _prefix(s.size, least)], k, s.size, majority(s)))
             sizes = [x[0].size for x in out]
             token = np.concatenate([x[0] for x in out] or [np.zeros(0, np.uint64)]).astype(np.int64)
             yield pd.DataFrame({"token": token} | {c: np.repeat(np.array([x[j] for x in out], kind), sizes).astype(np.dtype(kind.__name__.removeprefix("u"))) for j, (c, kind) in enumerate((("k", np.int64), ("n", np.int32), ("fp", np.uint64)), 1)})
@@ -142,6 +151,27 @@ def _sizes(n: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndar
     return np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9
 
 
+#: Bins of a sketch, of four bits each.
+BINS = 512
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """For each bin of the shingles' hashes four bits of its least one; 0 where it has none."""
+    out = np.zeros(BINS, np.uint8)
+    if s.size:
+        cell = (s >> np.uint64(55)).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        out[cell[first]] = (s[first] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(15) + np.uint64(1)
+    return out.tobytes()
+
+
+def _alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of that similarity can have these sketches: five standard deviations below what they agree in."""
+    used = ((a > 0) | (b > 0)).sum(1)
+    p = least + (1 - least) / 16
+    return ((a == b) & (a > 0)).sum(1) >= used * p - 5 * np.sqrt(used * p * (1 - p)) - 1
+
+
 def _frame(k: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
     swap = k[i] > k[j]
     i, j = np.where(swap, j, i), np.where(swap, i, j)
@@ -178,12 +208,12 @@ def similar_links(docs: DataFrame, at: str, prints: DataFrame, shingle: int, lea
     """(a, b) keys; they connect all texts that are similar enough, and only such. at: locators; prints: see `keys`."""
     rows = prefixes(docs, shingle, least).repartition(partitions(docs), "token").sortWithinPartitions("token", "k")
 
-    def joined(pdf: pd.DataFrame, part: np.ndarray | None) -> Iterator[pd.DataFrame]:
-        """Pairs by the buckets' tries; part: only those that differ in it."""
+    def joined(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Pairs by the buckets' tries."""
         token, k, n, fp = (pdf[c].to_numpy() for c in ("token", "k", "n", "fp"))
         fp = fp.astype(np.uint64)
         order = np.lexsort((k, fp, token))
-        for i, j in trie_pairs(token[order], fp[order], BITS, None if part is None else part[order]):
+        for i, j in trie_pairs(token[order], fp[order], BITS):
             i, j = order[i], order[j]
             ok = _sizes(n, i, j, least)
             yield _frame(k, n, i[ok], j[ok])
@@ -194,7 +224,7 @@ def similar_links(docs: DataFrame, at: str, prints: DataFrame, shingle: int, lea
             token, k, n = (pdf[c].to_numpy() for c in ("token", "k", "n"))
             first, last = _bounds(token)
             some = np.repeat((last - first > 1) & (last - first <= BUCKET), last - first)
-            for pairs in joined(pdf[some], None):
+            for pairs in joined(pdf[some]):
                 yield pairs.assign(token=0, fp=0, large=False)
             for i, j in zip(first[last - first > BUCKET].tolist(), last[last - first > BUCKET].tolist(), strict=True):
                 one = i + int(np.argmin(k[i:j].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
@@ -205,15 +235,21 @@ def similar_links(docs: DataFrame, at: str, prints: DataFrame, shingle: int, lea
     ordered = found.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(down, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(up, F.col("nb")).otherwise(F.col("na")).alias("nb"), "large")
     pairs = written(ordered.groupBy("a", "b", "na", "nb").count().filter(_enough(least)).select("a", "b"), "pairs")
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"k": b["k"], "s": [shingles(t, shingle)[1].tobytes() for t in b["text"]]})
+    def texts(ids: DataFrame) -> DataFrame:
+        """k and text, one of each key, by its locator. ids: _k"""
+        one = prints.join(small(ids), F.col("fp") == F.col("_k")).groupBy(F.col("fp").alias("k")).agg(F.min(F.struct("file", "row")).alias("_at"))
+        return docs.select(at, "text").join(small(written(one, "ids")), F.col(at) == F.col("_at")).select("k", "text")
+
+    def made(of: Callable[[np.ndarray], bytes]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"k": b["k"], "s": [of(shingles(t, shingle)[1]) for t in b["text"]]})
+
+        return run
 
     def checked(pairs: DataFrame) -> DataFrame:
         ids = written(pairs.select(F.explode(F.array("a", "b")).alias("_k")).distinct(), "ids")
-        # One text of each key, by its locator.
-        one = prints.join(small(ids), F.col("fp") == F.col("_k")).groupBy(F.col("fp").alias("k")).agg(F.min(F.struct("file", "row")).alias("_at"))
-        sets = docs.select(at, "text").join(small(written(one, "ids")), F.col(at) == F.col("_at")).select("k", "text").mapInPandas(whole, "k long, s binary")
+        sets = texts(ids).mapInPandas(made(lambda s: s.tobytes()), "k long, s binary")
         return written(_checked(pairs, written(sets, "sets"), least), "links")
 
     links = checked(pairs)
@@ -223,14 +259,38 @@ def similar_links(docs: DataFrame, at: str, prints: DataFrame, shingle: int, lea
     tops = components(links)
     of = tops.unionByName(tops.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "_n")
     parts = large.join(small(written(of, "parts")), F.col("k") == F.col("_n"), "left").select("token", "k", "n", "fp", F.coalesce("root", "k").alias("part"))
+    # Buckets that links have connected need no more.
+    open_ = written(parts.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select(F.col("token").alias("_t")), "open")
+    parts = written(parts.join(small(open_), F.col("token") == F.col("_t"), "left_semi"), "parts")
+
+    # The few that are left take along their sets, and all their buckets: a pair is looked at in the first that it shares.
+    own = written(parts.groupBy("k").agg(F.collect_set("token").alias("buckets")).select(F.col("k").alias("_k"), "buckets"), "ids")
+    sets = written(texts(own.select("_k")).mapInPandas(made(lambda s: s.tobytes()), "k long, s binary").join(small(own), F.col("k") == F.col("_k")).select("_k", "s", "buckets"), "sets")
+    parts = parts.join(sets, F.col("k") == F.col("_k")).drop("_k")
 
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Pairs of a large bucket that no links connect yet."""
+        """Links in large buckets between texts that none connects yet."""
         for pdf in _runs(batches):
-            yield from joined(pdf, pdf["part"].to_numpy())
-
-    late = parts.repartition(partitions(docs), "token").sortWithinPartitions("token", "k").mapInPandas(rest, f"{_PAIR}, na int, nb int").withColumn("large", F.lit(True))
-    # What a pair shares in small buckets counts too; only pairs of large buckets are new.
-    both = late.unionByName(ordered.filter("NOT large")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("count"), F.max("large").alias("large"))
-    more = written(both.filter(F.col("large") & _enough(least)).join(pairs, ["a", "b"], "left_anti").select("a", "b"), "more")
-    return links.unionByName(checked(more))
+            token, k, n, fp, part = (pdf[c].to_numpy() for c in ("token", "k", "n", "fp", "part"))
+            order = np.lexsort((k, fp.astype(np.uint64), token))
+            token, k, n, fp, label = token[order], k[order], n[order], fp[order].astype(np.uint64), np.unique(part[order], return_inverse=True)[1]
+            own = [np.frombuffer(pdf["s"].iat[x], np.uint64) for x in order]
+            buckets = [frozenset(pdf["buckets"].iat[x]) for x in order]
+            drawn = np.frombuffer(b"".join(map(sketch, own)), np.uint8).reshape(-1, BINS)
+            found = []
+            for i, j in trie_pairs(token, fp, BITS, label, joins=True):
+                ok = _sizes(n, i, j, least)
+                i, j = i[ok], j[ok]
+                ok = _alike(drawn[i], drawn[j], least)
+                for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+                    if label[x] == label[y] or min(buckets[x] & buckets[y]) != token[x]:
+                        continue
+                    a, b = own[x], own[y]
+                    both = int((b[np.minimum(np.searchsorted(b, a), b.size - 1)] == a).sum())
+                    if both >= least * (a.size + b.size - both) - 1e-9:
+                        found.append((k[x], k[y]))
+                        label[label == label[x]] = label[y]
+            yield pd.DataFrame(found, columns=["a", "b"])
+
+    late = parts.repartition(partitions(docs), "token").sortWithinPartitions("token", "k").mapInPandas(rest, _PAIR)
+    return links.unionByName(written(late, "links"))
