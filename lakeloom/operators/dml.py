@@ -9,7 +9,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import CatalogError, LakeError, NotSupported
+from ..errors import CatalogError, ConflictError, LakeError, NotSupported
 from ..sources import files, scan, schema
 from ..sources.catalog import VISIBLE, Catalog
 from . import write
@@ -64,6 +64,8 @@ def mark_deleted(lake: Lake, tx: Transaction, t: Table, hits: DataFrame) -> int:
 
     def step(c: Catalog, s: int) -> None:
         for i in whole:
+            if c.one("SELECT id FROM data_file WHERE id = :i AND stop IS NULL", i=i) is None:
+                raise ConflictError(f'Transaction conflict - a file of table "{t.name}" with rows to delete is gone')
             c.run("UPDATE data_file SET stop = :s, origin = origin || '/deleted' WHERE id = :i", s=s, i=i)
         c.many("INSERT INTO inlined_delete VALUES (?, ?, ?, ?)", [(t.id, i, p, s) for i, p in few])
         if path:
@@ -74,8 +76,11 @@ def mark_deleted(lake: Lake, tx: Transaction, t: Table, hits: DataFrame) -> int:
             c.run("UPDATE inlined SET stop = :s WHERE table_id = :t AND row_id = :r AND stop IS NULL", s=s, t=t.id, r=p)
         c.run("UPDATE table_stats SET rows = rows - :n WHERE table_id = :t", n=sum(counts.values()), t=t.id)
 
+    # Rows of files go from their files, wherever their places are kept; rows of the catalog are another kind of change.
     touched = [i for i in counts if i >= 0]
-    tx.add("deleted_from_table" if touched and not few else "inlined_delete", t.id, step, detail=touched)
+    tx.add("deleted_from_table" if touched else "inlined_delete", t.id, step, detail=touched)
+    if touched and inline:
+        tx.changes.append(["inlined_delete", str(t.id), None])
     return sum(counts.values())
 
 
@@ -90,6 +95,31 @@ def delete(lake: Lake, name: str, where: str | None) -> int:
     return n
 
 
+def truncate(lake: Lake, name: str) -> int:
+    """Ends all files and rows of a table in the catalog; none is read."""
+    with lake._change() as tx:
+        t, at = lake._table(name), lake.current_snapshot()
+        n = lake.count(name)
+        own = [r["id"] for r in lake._c.rows(f"SELECT id FROM data_file WHERE table_id = :t AND {VISIBLE}", t=t.id, s=at)]
+        inline = lake._c.one(f"SELECT count(*) AS n FROM inlined WHERE table_id = :t AND {VISIBLE}", t=t.id, s=at)["n"]
+        if not own and not inline:
+            return 0
+
+        def step(c: Catalog, s: int) -> None:
+            for i in own:
+                if c.one("SELECT id FROM data_file WHERE id = :i AND stop IS NULL", i=i) is None:
+                    raise ConflictError(f'Transaction conflict - a file of table "{t.name}" with rows to delete is gone')
+                c.run("UPDATE data_file SET stop = :s, origin = origin || '/deleted' WHERE id = :i", s=s, i=i)
+            c.run("DELETE FROM inlined WHERE table_id = :t AND stop IS NULL AND begin = :s", t=t.id, s=s)
+            c.run("UPDATE inlined SET stop = :s WHERE table_id = :t AND stop IS NULL", s=s, t=t.id)
+            c.run("UPDATE table_stats SET rows = rows - :n WHERE table_id = :t", n=n, t=t.id)
+
+        tx.add("deleted_from_table" if own else "inlined_delete", t.id, step, detail=own)
+        if own and inline:
+            tx.changes.append(["inlined_delete", str(t.id), None])
+    return n
+
+
 def _assigned(t: Table, assignments: dict[str, str], old: dict[str, Column] | None = None) -> list[Column]:
     new = {k.lower(): v for k, v in assignments.items()}
     if unknown := set(new) - {f["name"].lower() for f in t.fields}:
