@@ -34,7 +34,7 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "tpch_q22": """SELECT c_nationkey, count(*) AS numcust, round(sum(c_acctbal), 2) AS totacctbal FROM customer WHERE c_acctbal > (SELECT avg(c2.c_acctbal) FROM customer c2 WHERE c2.c_acctbal > 0) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') GROUP BY c_nationkey""",
     # Operators one by one.
     "filter_predicates": """SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN 'many' ELSE 'few' END AS kind FROM lineitem WHERE l_quantity BETWEEN 10 AND 40 AND l_returnflag IN ('A', 'R') AND NOT (l_discount < 0.02 OR l_tax = 0.0) AND l_linestatus IS NOT NULL AND l_orderkey <> 7""",
-    "filter_like": "SELECT p_partkey, p_name FROM part WHERE p_type LIKE '%BRASS%' AND p_name NOT LIKE 'a%'",
+    "filter_like": "SELECT p_partkey, p_name FROM part WHERE p_type LIKE '%OM%' AND p_name NOT LIKE 'b%'",
     "join_inner": "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000",
     "join_left": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P'",
     "join_right": "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON c_custkey = o_custkey AND o_totalprice > 200000",
@@ -42,7 +42,8 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "join_natural": ("SELECT n_name, n_regionkey FROM (SELECT n_name, n_regionkey FROM nation) AS a NATURAL JOIN (SELECT r_regionkey AS n_regionkey FROM region WHERE r_regionkey < 3) AS b",) * 2,
     "join_cross": "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE n_nationkey < 4",
     "join_semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)",
-    "join_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "join_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
+    "cte_shadow": "WITH orders AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT n, count(*) AS customers, 'from orders, today' AS made FROM orders GROUP BY n",
     "join_in": "SELECT count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')",
     "join_theta": "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "join_lateral": "SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) AS t",
