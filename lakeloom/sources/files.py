@@ -81,7 +81,9 @@ def footer(path: str) -> tuple[int, dict[str, tuple[int, int | None, str | None,
             x = stats.setdefault(col.path_in_schema, [0, 0, [], []])
             x[0] += col.num_values
             x[1] = None if s is None or not s.has_null_count or x[1] is None else x[1] + s.null_count
-            if s is not None and s.has_min_max:
+            if col.physical_type == "INT96":  # has no order of its own
+                x[2].append(None)
+            elif s is not None and s.has_min_max:
                 x[2].append(s.min), x[3].append(s.max)
             elif not (s is not None and s.has_null_count and s.null_count == col.num_values):
                 x[2].append(None)
