@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import CatalogError, ConflictError, LakeError, NotSupported
+from ..plans.parsed import Expression, column
 from ..sources import files, scan, schema
 from ..sources.catalog import VISIBLE, Catalog
 from . import write
@@ -84,11 +85,11 @@ def mark_deleted(lake: Lake, tx: Transaction, t: Table, hits: DataFrame) -> int:
     return sum(counts.values())
 
 
-def delete(lake: Lake, name: str, where: str | None) -> int:
+def delete(lake: Lake, name: str, where: str | Expression | None, alias: str | None = None) -> int:
     """Rows deleted. Without a condition, or where all of a file's rows go, the file ends as a whole."""
     with lake._change() as tx:
         t = lake._table(name)
-        rows = scan.table(lake, t, lake.current_snapshot(), where, meta=True)
+        rows = scan.table(lake, t, lake.current_snapshot(), where, meta=True, alias=alias)
         hits = _staged(lake, tx, t, rows.select("_file_id", "_pos"))
         n = mark_deleted(lake, tx, t, hits)
         _drop_stage(lake, hits, tx)
@@ -120,13 +121,13 @@ def truncate(lake: Lake, name: str) -> int:
     return n
 
 
-def _assigned(t: Table, assignments: dict[str, str], old: dict[str, Column] | None = None) -> list[Column]:
+def _assigned(t: Table, assignments: dict[str, str | Expression], alias: str) -> list[Column]:
     new = {k.lower(): v for k, v in assignments.items()}
     if unknown := set(new) - {f["name"].lower() for f in t.fields}:
         raise CatalogError(f"no such columns: {sorted(unknown)}")
-    if any(v.strip().upper() == "DEFAULT" for v in new.values()):
+    if any(isinstance(v, str) and v.strip().upper() == "DEFAULT" for v in new.values()):
         raise NotSupported("SET … = DEFAULT is not supported")
-    return [(F.expr(new[f["name"].lower()]).cast(schema.field_type(f)) if f["name"].lower() in new else (old or {}).get(f["name"], F.col(f"target.`{f['name']}`"))).alias(f["name"]) for f in t.fields]
+    return [(column(new[f["name"].lower()]).cast(schema.field_type(f)) if f["name"].lower() in new else F.col(f"`{alias}`.`{f['name']}`")).alias(f["name"]) for f in t.fields]
 
 
 def replace_rows(lake: Lake, tx: Transaction, t: Table, rows: DataFrame) -> None:
@@ -134,18 +135,18 @@ def replace_rows(lake: Lake, tx: Transaction, t: Table, rows: DataFrame) -> None
     write.add_rows(lake, tx, t, rows.withColumn("_snapshot_id", F.lit(None).cast("long")), int(lake.option("data_inlining_row_limit", t)), embeds=True, kind="update")
 
 
-def update(lake: Lake, name: str, assignments: dict[str, str], where: str | None, source: DataFrame | None = None) -> int:
-    """Expressions may name `target` and, with a DataFrame to update from, `source`. Of several matches of a row the first counts."""
+def update(lake: Lake, name: str, assignments: dict[str, str | Expression], where: str | Expression | None, source: DataFrame | None = None, alias: str = "target") -> int:
+    """Expressions may name `target` (or what `alias` says) and, with a DataFrame to update from, `source`. Of several matches of a row the first counts."""
     with lake._change() as tx:
         t = lake._table(name)
         at = lake.current_snapshot()
         if source is None:
-            rows = scan.table(lake, t, at, where, meta=True).alias("target")
+            rows = scan.table(lake, t, at, where, meta=True, alias=alias)
         else:
             if not where:
                 raise LakeError("an update from another table needs a condition")
-            rows = scan.table(lake, t, at, None, meta=True).alias("target").join(source.alias("source"), F.expr(where)).dropDuplicates(["_file_id", "_pos"])
-        staged = _staged(lake, tx, t, rows.select(*_assigned(t, assignments), *scan.META))
+            rows = scan.table(lake, t, at, None, meta=True, alias=alias).join(source.alias("source"), column(where)).dropDuplicates(["_file_id", "_pos"])
+        staged = _staged(lake, tx, t, rows.select(*_assigned(t, assignments, alias), *scan.META))
         n = mark_deleted(lake, tx, t, staged.select("_file_id", "_pos"))
         if n:
             replace_rows(lake, tx, t, staged.select(*[f"`{f['name']}`" for f in t.fields], "_row_id"))
@@ -154,12 +155,13 @@ def update(lake: Lake, name: str, assignments: dict[str, str], where: str | None
 
 
 class Merge:
-    """MERGE INTO: clauses in the order given, then execute(). Expressions name `target` and `source`."""
+    """MERGE INTO: clauses in the order given, then execute(). Expressions name `target` and `source`, or what `names` says."""
 
-    def __init__(self, lake: Lake, name: str, source: DataFrame, on: str | list[str]):
+    def __init__(self, lake: Lake, name: str, source: DataFrame, on: str | list[str] | Expression):
         self.lake, self.name, self.source = lake, name, source
-        self.on = on if isinstance(on, str) else " AND ".join(f"target.`{c}` = source.`{c}`" for c in on)
-        self.clauses: list[tuple[str, str, str | None, dict[str, str] | None]] = []
+        self.on = " AND ".join(f"target.`{c}` = source.`{c}`" for c in on) if isinstance(on, list) else on
+        self.names = ("target", "source")
+        self.clauses: list[tuple[str, str, str | Expression | None, dict[str, str | Expression] | None]] = []
 
     def _add(self, when: str, action: str, condition: str | None, values: dict[str, str] | None = None) -> Merge:
         if action in ("update", "delete") and any(a in ("update", "delete") for _, a, _, _ in self.clauses):
@@ -193,29 +195,29 @@ class Merge:
         lake = self.lake
         with lake._change() as tx:
             t = lake._table(self.name)
-            target = scan.table(lake, t, lake.current_snapshot(), None, meta=True).withColumn("_there", F.lit(True)).alias("target")
-            source = self.source.withColumn("_given", F.lit(True)).alias("source")
+            target = scan.table(lake, t, lake.current_snapshot(), None, meta=True).withColumn("_there", F.lit(True)).alias(self.names[0])
+            source = self.source.withColumn("_given", F.lit(True)).alias(self.names[1])
             kinds = {w for w, _, _, _ in self.clauses}
             how = "full" if {"new", "alone"} <= kinds else "right" if "new" in kinds else "left" if "alone" in kinds else "inner"
-            rows = target.join(source, F.expr(self.on), how)
+            rows = target.join(source, column(self.on), how)
             matched, new = F.col("_there").isNotNull() & F.col("_given").isNotNull(), F.col("_there").isNull()
             state = {"matched": matched, "new": new, "alone": F.col("_given").isNull()}
             which = F.lit(-1)
             for k, (when, _, condition, _) in reversed(list(enumerate(self.clauses))):
-                hit = state[when] & F.coalesce(F.expr(condition), F.lit(False)) if condition else state[when]
+                hit = state[when] & F.coalesce(column(condition), F.lit(False)) if condition else state[when]
                 which = F.when(hit, k).otherwise(which)
             rows = rows.withColumn("_clause", which).filter("_clause >= 0")
             cols = []
-            everything = {f["name"]: f"source.`{f['name']}`" for f in t.fields}
+            everything = {f["name"]: f"`{self.names[1]}`.`{f['name']}`" for f in t.fields}
             for f in t.fields:
                 kind, c = schema.field_type(f), F.lit(None).cast(schema.field_type(f))
                 for k, (_, action, _, values) in enumerate(self.clauses):
                     if action == "update":
                         v = {a.lower(): b for a, b in (values or everything).items()}
-                        new_value = F.expr(v[f["name"].lower()]).cast(kind) if f["name"].lower() in v else F.col(f"target.`{f['name']}`")
+                        new_value = column(v[f["name"].lower()]).cast(kind) if f["name"].lower() in v else F.col(f"`{self.names[0]}`.`{f['name']}`")
                     elif action == "insert":
                         v = {a.lower(): b for a, b in (values or everything).items()}
-                        new_value = F.expr(v[f["name"].lower()]).cast(kind) if f["name"].lower() in v else F.expr(f["default"]).cast(kind) if f["default"] else F.lit(None).cast(kind)
+                        new_value = column(v[f["name"].lower()]).cast(kind) if f["name"].lower() in v else F.expr(f["default"]).cast(kind) if f["default"] else F.lit(None).cast(kind)
                     else:
                         continue
                     c = F.when(F.col("_clause") == k, new_value).otherwise(c)

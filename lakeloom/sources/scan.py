@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans import prune
+from ..plans.parsed import Expression, column
 from . import files, schema
 from .catalog import VISIBLE, Catalog
 
@@ -172,10 +173,11 @@ def alive(lake: Lake, cat: Catalog, t: Table, rows: list[sqlite3.Row], at: int,
     return df.unionByName(read_files(lake, cat, t, plain, meta)) if plain else df
 
 
-def table(lake: Lake, t: Table, at: int, where: str | None = None, meta: bool = False) -> DataFrame:
+def table(lake: Lake, t: Table, at: int, where: str | Expression | None = None, meta: bool = False, alias: str | None = None) -> DataFrame:
     cat = lake._c
     out = alive(lake, cat, t, live_files(lake, cat, t, at, where), at, meta)
     own = inlined(lake, cat, t, VISIBLE, {"s": at}, meta=meta)
     if own is not None:
         out = out.unionByName(own)
-    return out.filter(where) if where else out
+    out = out.alias(alias) if alias else out
+    return out.filter(column(where)) if where else out
