@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,17 +36,50 @@ def murmur3_bytes(data: bytes, seed: int = 0) -> int:
     return h - (1 << 32) if h >> 31 else h
 
 
-def _strings(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for b in batches:
-        yield b.map(lambda x: None if x is None else murmur3_bytes(bytes(x))).astype("Int32")
+def _let(c: Column, *steps: Callable[[Column], Column]) -> Column:
+    """Steps one after another, each with its argument computed once."""
+    for step in steps:
+        c = F.transform(F.array(c), step)[0]
+    return c
 
 
-_strings.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+def _times(k: int) -> Callable[[Column], Column]:
+    """Unsigned product of 32 bits, by halves that no long overflows at."""
+    return lambda x: (x * F.lit(k & 0xFFFF).cast("long") + F.shiftleft((x * F.lit(k >> 16).cast("long")).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _turned(r: int) -> Callable[[Column], Column]:
+    return lambda x: F.shiftleft(x, r).bitwiseOR(F.shiftright(x, 32 - r)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _folded(*shifts: int) -> Callable[[Column], Column]:
+    def step(x: Column) -> Column:
+        out = x
+        for r in shifts:
+            out = out.bitwiseXOR(F.shiftright(x, r))
+        return out
+
+    return step
+
+
+def _of_bytes(data: Column) -> Column:
+    """Spark's hash is this one for whole words of 4 bytes and differs at the bytes behind them only. So the last steps
+    of the whole words' hash are undone, the rest mixed in, and the steps done again."""
+    a, b, inverse = 0x85EBCA6B, 0xC2B2AE35, lambda k: pow(k, -1, 1 << 32)
+    n = F.octet_length(data)
+    rest = F.pmod(n, F.lit(4))
+    whole = F.hash(F.lit(_SEED_ZERO), F.substring(data, F.lit(1), n - rest))
+    byte = lambda k: F.coalesce(F.conv(F.hex(F.substring(data, n - rest + k, F.lit(1))), 16, 10).cast("long"), F.lit(0).cast("long"))
+    tail = _let(byte(1) + byte(2) * 256 + byte(3) * 65536, _times(0xCC9E2D51), _turned(15), _times(0x1B873593))
+    state = _let(whole.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)), _folded(16), _times(inverse(b)), _folded(13, 26), _times(inverse(a)), _folded(16))
+    mixed = state.bitwiseXOR((n - rest).cast("long")).bitwiseXOR(tail).bitwiseXOR(n.cast("long"))
+    out = _let(mixed, _folded(16), _times(a), _folded(13), _times(b), _folded(16), lambda x: F.when(x >= 1 << 31, x - (1 << 32)).otherwise(x).cast("int"))
+    return F.when(rest == 0, whole).otherwise(out)
 
 
 def murmur3_32(c: Column, t: T.DataType) -> Column:
     """Integers, booleans, dates, timestamps and short decimals as 8 bytes; floats by their double's bits, -0.0 as 0.0;
-    strings and binaries as they are; all else by its text. Null gives null. The numbers stay in the JVM."""
+    strings and binaries as they are; all else by its text. Null gives null. All of it stays in the JVM."""
     if isinstance(t, T.BooleanType | T.ByteType | T.ShortType | T.IntegerType | T.LongType):
         n = c.cast("long")
     elif isinstance(t, T.DateType):
@@ -63,7 +95,7 @@ def murmur3_32(c: Column, t: T.DataType) -> Column:
         return F.when(c.isNotNull(), F.hash(F.lit(_SEED_ZERO), c.cast("double")))
     else:
         data = c if isinstance(t, T.BinaryType) else c.cast("string").cast("binary")
-        return F.pandas_udf(_strings, "int")(data)
+        return F.when(data.isNotNull(), _of_bytes(data))
     return F.when(c.isNotNull(), F.hash(F.lit(_SEED_ZERO), n))
 
 

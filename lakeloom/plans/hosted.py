@@ -32,7 +32,25 @@ QUERIES: dict[str, str | tuple[str, str]] = {
  WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 180) GROUP BY c_name, c_custkey, o_orderkey, o_totalprice""",
     "tpch_q19": """SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN part ON p_partkey = l_partkey WHERE (p_size BETWEEN 1 AND 5 AND l_quantity BETWEEN 1 AND 11) OR (p_size BETWEEN 10 AND 20 AND l_quantity BETWEEN 10 AND 20)""",
     "tpch_q22": """SELECT c_nationkey, count(*) AS numcust, round(sum(c_acctbal), 2) AS totacctbal FROM customer WHERE c_acctbal > (SELECT avg(c2.c_acctbal) FROM customer c2 WHERE c2.c_acctbal > 0) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') GROUP BY c_nationkey""",
+    "tpch_q8": """SELECT year(o_orderdate) AS o_year, round(sum(CASE WHEN n2.n_regionkey = 2 THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS share FROM part JOIN lineitem ON p_partkey = l_partkey
+ JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation n1 ON c_nationkey = n1.n_nationkey JOIN region ON n1.n_regionkey = r_regionkey JOIN nation n2 ON s_nationkey = n2.n_nationkey
+ WHERE r_name = 'AMERICA' AND p_size < 30 GROUP BY 1""",
+    "tpch_q21": """SELECT s_name, count(*) AS numwait FROM supplier JOIN lineitem l1 ON s_suppkey = l1.l_suppkey JOIN orders ON o_orderkey = l1.l_orderkey WHERE o_orderstatus = 'F' AND l1.l_returnflag = 'R'
+ AND EXISTS (SELECT 1 FROM lineitem l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2.l_suppkey <> l1.l_suppkey) AND NOT EXISTS (SELECT 1 FROM lineitem l3 WHERE l3.l_orderkey = l1.l_orderkey AND l3.l_suppkey <> l1.l_suppkey AND l3.l_returnflag = 'R')
+ GROUP BY s_name ORDER BY numwait DESC, s_name LIMIT 100""",
+    # Shapes of the click-log benchmark, over events.
+    "clicks_count": "SELECT count(*) AS n, CAST(sum(value) AS DECIMAL(20, 2)) AS s, round(avg(user_id), 6) AS mean FROM events WHERE event_type <> 'view'",
+    "clicks_distinct": "SELECT event_type, count(DISTINCT user_id) AS users, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY event_type",
+    "clicks_top_users": "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10",
+    "clicks_user_type": "SELECT user_id, event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY user_id, event_type HAVING count(*) > 2 ORDER BY n DESC, user_id, event_type LIMIT 50",
+    "clicks_like": "SELECT event_type, count(*) AS n, min(props) AS low FROM events WHERE props LIKE '%7%' AND props NOT LIKE '%3%' AND event_type <> '' GROUP BY event_type",
+    "clicks_by_minute": "SELECT date_trunc('minute', ts) AS m, count(*) AS n FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-12 00:00:00' GROUP BY date_trunc('minute', ts)",
+    "clicks_lookup": "SELECT event_id, ts, value FROM events WHERE user_id = 46 ORDER BY ts, event_id LIMIT 10 OFFSET 3",
+    "clicks_wide_sums": "SELECT " + ", ".join(f"CAST(sum(user_id + {k}) AS BIGINT) AS s{k}" for k in range(20)) + " FROM events",
+    "clicks_buckets": "SELECT CASE WHEN value < 10 THEN 'low' WHEN value < 100 THEN 'middle' ELSE 'high' END AS size, length(props) AS width, count(*) AS n FROM events GROUP BY 1, 2",
     # Operators one by one.
+    "distinct_on": ("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS nth FROM orders) AS x WHERE nth = 1", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey"),
+    "join_range": "SELECT a.s_suppkey AS a_key, b.c_custkey AS b_key FROM supplier a JOIN customer b ON b.c_acctbal BETWEEN a.s_acctbal - 1 AND a.s_acctbal + 1",
     "filter_predicates": """SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN 'many' ELSE 'few' END AS kind FROM lineitem WHERE l_quantity BETWEEN 10 AND 40 AND l_returnflag IN ('A', 'R') AND NOT (l_discount < 0.02 OR l_tax = 0.0) AND l_linestatus IS NOT NULL AND l_orderkey <> 7""",
     "filter_like": "SELECT p_partkey, p_name FROM part WHERE p_type LIKE '%OM%' AND p_name NOT LIKE 'b%'",
     "join_inner": "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000",

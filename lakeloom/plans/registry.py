@@ -491,16 +491,53 @@ def transform_epoch(spark, sf_dir):
     return e.select("event_id", *[transforms.apply(f"epoch_{u}", None, F.col("ts"), t).alias(u[0]) for u in ("year", "month", "day", "hour")])
 
 
-@_query()
+def _murmur_sql(words: str, tail: str, length: str) -> str:
+    """The hash in the check's SQL: of a list of unsigned words, the bytes behind them as a number, and the length in bytes."""
+
+    def scrambled(k: str) -> str:
+        x = f"({k} * 3432918353::UBIGINT % 4294967296::UBIGINT)"
+        return f"(({x} * 32768::UBIGINT % 4294967296::UBIGINT + {x} // 131072::UBIGINT) * 461845907::UBIGINT % 4294967296::UBIGINT)"
+
+    def mixed(h: str, k: str) -> str:
+        x = f"xor({h}, {k})"
+        return f"((({x} * 8192::UBIGINT % 4294967296::UBIGINT + {x} // 524288::UBIGINT) * 5::UBIGINT + 3864292196::UBIGINT) % 4294967296::UBIGINT)"
+
+    h = f"list_reduce(list_prepend(0::UBIGINT, list_transform({words}, lambda k: {scrambled('k')})), lambda h, k: {mixed('h', 'k')})"
+    h = f"[xor(xor({h}, {scrambled(f'({tail})::UBIGINT')}), ({length})::UBIGINT)]"
+    for shift, factor in ((65536, 2246822507), (8192, 3266489909), (65536, 1)):
+        h = f"list_transform({h}, lambda x: xor(x, x // {shift}::UBIGINT) * {factor}::UBIGINT % 4294967296::UBIGINT)"
+    return f"list_transform({h}, lambda x: CASE WHEN x >= 2147483648 THEN x::BIGINT - 4294967296 ELSE x::BIGINT END)[1]::INT"
+
+
+def _of_number(n: str) -> str:
+    u = f"({n})::UBIGINT"
+    return _murmur_sql(f"[{u} % 4294967296::UBIGINT, {u} // 4294967296::UBIGINT]", "0", "8")
+
+
+def _of_ascii(s: str) -> str:
+    byte = lambda at: f"ord(substr({s}, ({at})::BIGINT, 1))::UBIGINT"
+    word = " + ".join(f"{byte(f'4 * i + {k + 1}')} * {256**k}::UBIGINT" for k in range(4))
+    tail = " + ".join(f"CASE WHEN length({s}) % 4 > {k} THEN {byte(f'length({s}) // 4 * 4 + {k + 1}')} * {256**k}::UBIGINT ELSE 0::UBIGINT END" for k in range(3))
+    return _murmur_sql(f"list_transform(range(length({s}) // 4), lambda i: {word})", tail, f"length({s})")
+
+
+@_query("SELECT c_custkey, " + ", ".join(f"(({h})::BIGINT & 2147483647) % 16 AS b_{n}" for n, h in (("c_custkey", _of_number("c_custkey")), ("c_nationkey", _of_number("c_nationkey")), ("c_name", _of_ascii("c_name")), ("c_mktsegment", _of_ascii("c_mktsegment")))) + " FROM customer")
 def transform_bucket(spark, sf_dir):
     c = _raw(spark, sf_dir, "customer")
-    return c.select("c_custkey", *[transforms.apply("bucket", 16, F.col(n), c.schema[n].dataType).alias(f"b_{n}") for n in ("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")])
+    return c.select("c_custkey", *[transforms.apply("bucket", 16, F.col(n), c.schema[n].dataType).alias(f"b_{n}") for n in ("c_custkey", "c_nationkey", "c_name", "c_mktsegment")])
 
 
-@_query()
+@_query(f"SELECT event_id, {_of_number('event_id')} AS h_event_id, {_of_number('epoch_us(ts)')} AS h_ts, {_of_ascii('event_type')} AS h_event_type, {_of_ascii('props')} AS h_props FROM events")
 def murmur3_32(spark, sf_dir):
     e = _raw(spark, sf_dir, "events")
-    return e.select("event_id", *[transforms.murmur3_32(F.col(n), e.schema[n].dataType).alias(f"h_{n}") for n in ("event_id", "ts", "event_type", "value")])
+    return e.select("event_id", *[transforms.murmur3_32(F.col(n), e.schema[n].dataType).alias(f"h_{n}") for n in ("event_id", "ts", "event_type", "props")])
+
+
+@_query()
+def murmur3_floats(spark, sf_dir):
+    """By the bits of doubles, which the check's SQL can't read."""
+    e = _raw(spark, sf_dir, "events")
+    return e.select("event_id", transforms.murmur3_32(F.col("value"), e.schema["value"].dataType).alias("h_value"))
 
 
 # Metadata and maintenance
@@ -626,11 +663,79 @@ def change_stream(spark, sf_dir):
     return got[0].unionByName(got[1]).groupBy("snapshot_id", "change_type").agg(F.count("*").alias("n"))
 
 
-@_query("SELECT * FROM region")
+@_query("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def copy_from_database(spark, sf_dir):
     lake = new_lake(spark)
     lake.copy_from({t: _raw(spark, sf_dir, t) for t in ("region", "nation")})
-    return lake.table("region")
+    return lake.sql("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+
+
+# The same by SQL text
+
+
+def _by_text(spark, sf_dir, *statements: str) -> Lake:
+    """Statements over a lake with the customers of even keys, and all of them as `source`."""
+    lake = new_lake(spark, data_inlining_row_limit=0)
+    c = _raw(spark, sf_dir, "customer")
+    lake.create_table_as("customer", c.filter("c_custkey % 2 = 0"))
+    lake.create_table_as("source", c)
+    for text in statements:
+        lake.sql(text)
+    return lake
+
+
+@_query("SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'NONE' END AS c_mktsegment FROM customer")
+def sql_insert(spark, sf_dir):
+    return _by_text(spark, sf_dir, "ALTER TABLE customer ALTER COLUMN c_mktsegment SET DEFAULT concat('NO', 'NE')", "INSERT INTO customer (c_nationkey, c_name, c_custkey) SELECT c_nationkey, c_name, c_custkey FROM source WHERE c_custkey NOT IN (SELECT c_custkey FROM customer)").table("customer")
+
+
+@_query("SELECT * FROM customer WHERE c_custkey % 2 = 0 AND c_acctbal >= (SELECT avg(c_acctbal) FROM customer)")
+def sql_delete(spark, sf_dir):
+    return _by_text(spark, sf_dir, "DELETE FROM customer AS c WHERE c.c_acctbal < (SELECT avg(c_acctbal) FROM source)").table("customer")
+
+
+@_query("SELECT c_custkey, CASE WHEN c_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000) THEN c_name || '!' ELSE c_name END AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 2 = 0")
+def sql_update(spark, sf_dir):
+    return _by_text(spark, sf_dir, "UPDATE customer SET c_name = c_name || '!' WHERE c_nationkey IN (SELECT c_nationkey FROM source WHERE c_acctbal > 9000)").table("customer")
+
+
+@_query("SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 6 = 0 THEN c_acctbal * 2 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 6 = 3 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
+def sql_merge(spark, sf_dir):
+    return _by_text(spark, sf_dir, """MERGE INTO customer AS t USING (SELECT * FROM source WHERE c_custkey % 3 = 0) AS s ON t.c_custkey = s.c_custkey
+ WHEN MATCHED THEN UPDATE SET c_acctbal = s.c_acctbal + t.c_acctbal WHEN NOT MATCHED THEN INSERT (c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment) VALUES (s.c_custkey, s.c_name, s.c_nationkey, s.c_acctbal, 'NEW')""").table("customer")
+
+
+@_query("SELECT c_mktsegment AS segment, count(*) AS n, 7::BIGINT AS flag FROM customer WHERE c_custkey % 2 = 0 GROUP BY c_mktsegment")
+def sql_ddl(spark, sf_dir):
+    lake = _by_text(
+        spark, sf_dir, "CREATE SCHEMA shop", "CREATE TABLE shop.people PARTITIONED BY (bucket(4, c_custkey)) AS SELECT * FROM customer", "ALTER TABLE shop.people RENAME COLUMN c_mktsegment TO segment", "ALTER TABLE shop.people ADD COLUMN flag INT DEFAULT 7",
+        "ALTER TABLE shop.people ALTER COLUMN flag TYPE BIGINT", "ALTER TABLE shop.people DROP COLUMN c_name", "ALTER TABLE shop.people RENAME TO buyers", "CREATE VIEW by_segment AS SELECT segment, count(*) AS n, max(flag) AS flag FROM shop.buyers GROUP BY segment", "DROP TABLE customer",
+    )
+    return lake.table("by_segment")
+
+
+@_query("SELECT * FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0")
+def merge_matched_delete(spark, sf_dir):
+    return _by_text(spark, sf_dir, "MERGE INTO customer USING (SELECT * FROM source WHERE c_custkey % 3 = 0) AS s ON customer.c_custkey = s.c_custkey WHEN MATCHED THEN DELETE").table("customer")
+
+
+@_query("SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal ELSE -1 END AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 2 = 0")
+def merge_by_source_update(spark, sf_dir):
+    lake = _by_text(spark, sf_dir)
+    lake.merge("customer", lake.table("source", where="c_custkey % 3 = 0"), ["c_custkey"]).when_not_matched_by_source_update({"c_acctbal": "-1"}).when_matched_do_nothing().execute()
+    return lake.table("customer")
+
+
+@_query("SELECT count(*) AS n FROM customer WHERE c_custkey % 2 = 0")
+def rename_view(spark, sf_dir):
+    return _by_text(spark, sf_dir, "CREATE VIEW v (n) AS SELECT count(*) FROM customer", "ALTER VIEW v RENAME TO w", "CREATE VIEW v AS SELECT 1", "DROP VIEW v").table("w")
+
+
+@_query("SELECT 3::BIGINT AS current_id, 3::BIGINT AS committed, 'ann' AS author, 'more' AS commit_message, '{}' AS commit_extra_info")
+def set_commit_message(spark, sf_dir):
+    lake = _by_text(spark, sf_dir, "CALL set_commit_message('ann', 'more', '{}')", "INSERT INTO customer SELECT * FROM source WHERE c_custkey % 2 = 1")
+    s = lake.snapshots().filter(F.col("snapshot_id") == lake.current_snapshot())
+    return s.select(F.lit(lake.current_snapshot()).cast("long").alias("current_id"), F.lit(lake.last_committed_snapshot()).cast("long").alias("committed"), "author", "commit_message", "commit_extra_info")
 
 
 def queries() -> dict[str, Query]:
