@@ -58,7 +58,7 @@ def mark_deleted(lake: Lake, tx: Transaction, t: Table, hits: DataFrame) -> int:
         tx.written.append(path)
         kept = hits.filter("_file_id >= 0")
         if whole:
-            kept = kept.join(F.broadcast(lake.spark.createDataFrame([(i,) for i in whole], "_file_id long")), "_file_id", "left_anti")
+            kept = kept.join(files.listed(lake.spark.createDataFrame([(i,) for i in whole], "_file_id long"), len(whole)), "_file_id", "left_anti")
         kept.select("_file_id", "_pos").sort("_file_id", "_pos").write.options(**write.options(lake, t)).parquet(path)
     delete_id = lake._cat.take("file")
     size = sum(b for _, b, _ in files.listing(lake.spark, path)) if path else 0

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 from typing import TYPE_CHECKING, Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +19,8 @@ from ..sources.lake import _order, as_bytes, packed
 if TYPE_CHECKING:
     from ..sources.lake import Lake, Table, Transaction
 
+_BROKEN = "NOT NULL constraint failed: "
+
 
 def conform(df: DataFrame, t: Table, columns: list[str] | None) -> DataFrame:
     """The table's columns from those given (by place, or for `columns`), defaults for the rest."""
@@ -48,8 +51,21 @@ def options(lake: Lake, t: Table) -> dict[str, str]:
     out = {"compression": lake.option("parquet_compression", t)}
     if size := lake.option("parquet_row_group_size_bytes", t):
         out["parquet.block.size"] = str(as_bytes(size))
+    if rows := lake.option("parquet_row_group_size", t):
+        out["parquet.block.row.count.limit"] = rows
     if level := lake.option("parquet_compression_level", t):
-        out["parquet.compression.codec.zstd.level"] = level
+        out["parquet.compression.codec.zstd.level"] = out["zlib.compress.level"] = level
+    out["parquet.writer.version"] = "PARQUET_2_0" if lake.option("parquet_version", t).lower().lstrip("v") == "2" else "PARQUET_1_0"
+    return out
+
+
+def _demanded(c: Column, f: dict, path: str) -> list[tuple[str, Column]]:
+    """What NOT NULL asks of a column without statistics, and of fields in structs: (name, whether it is broken)."""
+    kind = schema.field_type(f)
+    out = [(path, c.isNull())] if not f["nullable"] and ("." in path or not isinstance(kind, T.AtomicType) or isinstance(kind, T.BinaryType)) else []
+    if isinstance(kind, T.StructType):
+        for x in f["children"]:
+            out += [(n, c.isNotNull() & broken) for n, broken in _demanded(c.getField(x["name"]), x, f"{path}.{x['name']}")]
     return out
 
 
@@ -68,18 +84,31 @@ def write_files(lake: Lake, tx: Transaction, t: Table, df: DataFrame, embeds: bo
     names = [f["name"] for f in t.fields]
     typed = lake.spark.createDataFrame([], schema.schema(t.fields)).schema
     # Field ids go into the files' schema with the columns' metadata.
-    df = df.select(*[F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata) for f in typed.fields], *(["_row_id", "_snapshot_id"] if embeds else []))
+    cols = []
+    for f, own in zip(typed.fields, t.fields, strict=True):
+        c = F.col(f"`{f.name}`")
+        for n, broken in _demanded(c, own, f.name):
+            c = F.when(broken, F.raise_error(F.lit(f"{_BROKEN}{t.name}.{n}."))).otherwise(c)
+        cols.append(c.alias(f.name, metadata=f.metadata))
+    df = df.select(*cols, *(["_row_id", "_snapshot_id"] if embeds else []))
     keys = key_columns(t)
     if t.sort and sort:
         df = df.sort(*[_order(k) for k in t.sort])
-    made = files.write(df, t.path, keys, options(lake, t), as_bytes(lake.option("target_file_size", t)))
+    kept = lake._c.one("SELECT rows, bytes FROM table_stats WHERE table_id = :t", t=t.id)
+    width = kept["bytes"] // kept["rows"] if kept is not None and kept["rows"] > 0 else 0
+    try:
+        made = files.write(df, t.path, keys, options(lake, t), as_bytes(lake.option("target_file_size", t)), width)
+    except Exception as e:
+        if m := re.search(rf"{_BROKEN}(.*?)\.(?=\W|$)", str(e)):
+            raise ConstraintError(f"{_BROKEN}{m[1]}") from e
+        raise
     tx.written += [m["path"] for m in made]
     by_name = {f["name"]: f for f in t.fields}
     for m in made:
         m["stats"] = {by_name[n]["id"]: s for n, s in m["stats"].items() if n in by_name}
         for f in t.fields:
             if not f["nullable"] and (m["stats"].get(f["id"], (0, 0))[1] or 0) > 0:
-                raise ConstraintError(f"NOT NULL constraint failed: {t.name}.{f['name']}")
+                raise ConstraintError(f"{_BROKEN}{t.name}.{f['name']}")
     assert len(names) == len(by_name)
     return made
 
@@ -118,13 +147,18 @@ def _inlinable(t: Table) -> bool:
 
 
 def add_rows(lake: Lake, tx: Transaction, t: Table, df: DataFrame, limit: int, embeds: bool = False, kind: str = "insert") -> None:
-    made = write_files(lake, tx, t, df, embeds, sort=lake.option("sort_on_insert", t) == "true")
+    most = df._jdf.queryExecution().optimizedPlan().maxRows()
+    known = not embeds and _inlinable(t) and most.isDefined() and most.get() <= limit and all(f["nullable"] for f in t.fields)  # so few that they need no files
+    made = [] if known else write_files(lake, tx, t, df, embeds, sort=lake.option("sort_on_insert", t) == "true")
     total = sum(m["rows"] for m in made)
-    if not total:
+    if not total and not known:
         return
     if total <= limit and _inlinable(t):
-        df = lake.spark.read.schema(T.StructType([*schema.plain_schema(t.fields).fields, *([T.StructField("_row_id", T.LongType())] if embeds else [])])).parquet(*[m["path"] for m in made])
+        if not known:
+            df = lake.spark.read.schema(T.StructType([*schema.plain_schema(t.fields).fields, *([T.StructField("_row_id", T.LongType())] if embeds else [])])).parquet(*[m["path"] for m in made])
         rows = [tuple(r) for r in df.collect()]  # no more than the limit
+        if not rows:
+            return
         for m in made:
             files.remove(lake.spark, m["path"])
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 #: Footers that the driver reads itself; more are read by a job.
 DRIVER_FOOTERS = 256
+BROADCAST_ROWS = 200_000  # some 40 MB of paths
 
 
 def hadoop(spark: SparkSession, path: str) -> tuple[Any, Any]:
@@ -115,15 +116,24 @@ def footers(spark: SparkSession, paths: list[str], schema: T.StructType) -> dict
     return {p: out.get(p, (0, {})) for p in paths}
 
 
-def write(df: DataFrame, folder: str, keys: list[tuple[str, Column]], options: dict[str, str], target_bytes: int) -> list[dict]:
-    """Writes Parquet files under a new folder, hive-style by `keys`; their paths, sizes, rows, statistics and key values."""
+def listed(df: DataFrame, n: int) -> DataFrame:
+    """A list of n short rows, sent to all executors while it is small."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+def write(df: DataFrame, folder: str, keys: list[tuple[str, Column]], options: dict[str, str], target_bytes: int, width: int = 0, spread: bool = True) -> list[dict]:
+    """Writes Parquet files under a new folder, hive-style by `keys`; their paths, sizes, rows, statistics and key values.
+
+    `width`: bytes of a row in files that are there; without any, a guess by the types. `spread`: rebalance by the keys.
+    """
     spark = df.sparkSession
     place = f"{folder}/{uuid.uuid4().hex}"
-    row = max(1, df._jdf.schema().defaultSize())
+    row = width or max(1, df._jdf.schema().defaultSize() // 2)
     out = df
     if keys:
-        out = out.withColumns(dict(keys)).hint("rebalance", *[k for k, _ in keys])
-    w = out.write.options(**options).option("maxRecordsPerFile", max(1, target_bytes // row * 2))
+        out = out.withColumns(dict(keys))
+        out = out.hint("rebalance", *[k for k, _ in keys]) if spread else out
+    w = out.write.options(**options).option("maxRecordsPerFile", max(1, target_bytes // row))
     (w.partitionBy(*[k for k, _ in keys]) if keys else w).parquet(place)
     found = listing(spark, place)
     stats = footers(spark, [p for p, _, _ in found], df.schema)

@@ -102,7 +102,7 @@ def read_files(lake: Lake, cat: Catalog, t: Table, rows: list[sqlite3.Row], meta
         if meta:
             known = [(files.raw_path(spark, r["path"]), r["id"], r["row_id_start"], r["begin"]) for r in own]
             table = spark.createDataFrame(known, "_p string, _file_id long, _start long, _begin long")
-            df = df.join(F.broadcast(table), F.col("_path") == F.col("_p"))  # a row for each file in the catalog's list
+            df = df.join(files.listed(table, len(known)), F.col("_path") == F.col("_p"))  # a row for each file in the catalog's list
             row_id, snap = F.col("_start") + F.col("_pos"), F.col("_begin")
             if embeds:
                 row_id, snap = F.coalesce("_row_id", row_id), F.coalesce("_snapshot_id", snap)
