@@ -336,13 +336,14 @@ def scan_inlined(spark, sf_dir):
     return lake.table("nation")
 
 
-@_query("SELECT r_regionkey, r_regionkey::BIGINT AS rowid, 2::BIGINT AS snapshot FROM region")
+@_query("SELECT r_regionkey, r_regionkey::BIGINT AS rowid, 2::BIGINT AS snapshot_id, r_regionkey::BIGINT AS file_row_number, 0::BIGINT AS file_index, true AS named FROM region")
 def virtual_columns(spark, sf_dir):
     lake = new_lake(spark, data_inlining_row_limit=0)
     r = _raw(spark, sf_dir, "region")
     lake.create_table("region", r.schema, sorted_by=["r_regionkey"])
     lake.insert("region", r.coalesce(1))
-    return lake.table("region", meta=True).select("r_regionkey", F.col("_row_id").alias("rowid"), F.col("_snapshot_id").alias("snapshot"))
+    (name,) = (r["data_file"] for r in lake.list_files("region").collect())
+    return lake.table("region", virtual=True).select("r_regionkey", "rowid", "snapshot_id", "file_row_number", "file_index", (F.col("filename") == name).alias("named"))
 
 
 # Rows
