@@ -75,6 +75,8 @@ def references(node: Any, given: frozenset[str] = frozenset(), parent: str = "")
             own = x._1().lower()
             yield from references(x._2(), given | {own} if node.allowRecursion() else given)
             given = given | {own}
+    if what == "ExplainCommand":
+        yield from references(node.logicalPlan(), given)
     for k, child in enumerate(items(node.children())):
         if k or what not in _TARGETS:
             yield from references(child, given, what)

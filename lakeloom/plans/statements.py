@@ -12,9 +12,11 @@ from collections.abc import Callable
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InvalidInput, NotSupported
+from ..sources import schema
 from . import parsed, prune
 from .parsed import Expression, items, names
 
@@ -108,23 +110,50 @@ def _assignments(lake: Lake, seq: Any, alias: str) -> dict[str, Expression]:
             raise NotSupported(f"{'.'.join(path)}: whole columns are assigned, not their fields")
         if path[0].lower() in {k.lower() for k in out}:
             raise InvalidInput(f"{path[0]} is assigned twice")
-        if parsed.kind(a.value()) == "UnresolvedAttribute" and [n.upper() for n in names(a.value().nameParts())] == ["DEFAULT"]:
+        if _is_default(a.value()):
             raise NotSupported("SET … = DEFAULT is not supported")
         out[path[0]] = Expression(lake.spark, a.value())
     return out
 
 
+def _is_default(e: Any) -> bool:
+    return parsed.kind(e) == "UnresolvedAttribute" and [n.upper() for n in names(e.nameParts())] == ["DEFAULT"]
+
+
 # Rows
 
 
+def _values(lake: Lake, name: str, columns: list[str], rows: list[list]) -> DataFrame:
+    """Rows of VALUES, of which some are DEFAULT."""
+    own = {f["name"].lower(): f for f in lake._table(name).fields}
+    if unknown := {c.lower() for c in columns} - set(own):
+        raise InvalidInput(f"no such columns: {sorted(unknown)}")
+    out: DataFrame | None = None
+    for row in rows:
+        if len(row) != len(columns):
+            raise InvalidInput(f"{len(columns)} columns, but a row of {len(row)} values")
+        cells = []
+        for c, e in zip(columns, row, strict=True):
+            f = own[c.lower()]
+            value = F.expr(f["default"] or "NULL") if _is_default(e) else Expression(lake.spark, e).column
+            cells.append(value.cast(schema.field_type(f)).alias(c))
+        one = lake.spark.range(1).select(*cells)
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 def _insert(lake: Lake, tree: Any) -> DataFrame:
     into = tree.child() if parsed.kind(tree) == "UnresolvedWith" else tree
     if into.partitionSpec().size() or into.ifPartitionNotExists():
         raise NotSupported("partitions follow from the rows")
     query = tree.copy(into.query(), tree.cteRelations(), tree.allowRecursion()) if into is not tree else into.query()
-    df = parsed.frame(lake.spark, query)
-    columns = names(into.userSpecifiedCols()) or (df.columns if into.byName() else None)
-    name = _target(into.table())[0]
+    name, columns = _target(into.table())[0], names(into.userSpecifiedCols()) or None
+    rows = [items(r) for r in items(query.rows())] if parsed.kind(query) == "UnresolvedInlineTable" else []
+    if any(_is_default(e) for r in rows for e in r):
+        df = _values(lake, name, columns or [f["name"] for f in lake._table(name).fields], rows)
+    else:
+        df = parsed.frame(lake.spark, query)
+        columns = columns or (df.columns if into.byName() else None)
     if not into.overwrite():
         return _done(lake, lake.insert(name, df, columns))
     with _together(lake):

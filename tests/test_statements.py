@@ -90,3 +90,11 @@ def test_names_are_bound_where_the_parser_sees_tables(lake):
 def test_references_leave_the_target_out(spark):
     tree = parsed.plan(spark, "MERGE INTO t USING u ON t.i IN (SELECT i FROM w) WHEN MATCHED THEN DELETE")
     assert {".".join(r.parts) for r in parsed.references(tree)} == {"u", "w"}
+
+
+def test_default_in_values_and_explain(lake):
+    lake.sql("CREATE TABLE t (i INT, s STRING DEFAULT concat('a', 'b'))")
+    lake.sql("INSERT INTO t VALUES (1, DEFAULT), (1 + 1, 'x'), (DEFAULT, NULL)")
+    assert sorted(got(lake, "SELECT * FROM t WHERE i > 0")) == [(1, "ab"), (2, "x")] and got(lake, "SELECT * FROM t WHERE i IS NULL") == [(None, None)]
+    assert "NOT_FOUND" not in got(lake, "EXPLAIN SELECT * FROM t")[0][0]
+    assert [tuple(r) for r in lake.sql("SELECT s FROM t WHERE i = :k", args={"k": 2}).collect()] == [("x",)]
