@@ -13,7 +13,8 @@ against 4 of them: 0.19), so more than BITS of 64 differ in less than one of 100
 Small buckets give all their pairs within the budget. Large ones first link their members
 to one of them; what then is still in different components there is joined by the trie, which drops node pairs of one component, so that many copies of one
 text don't give the pairs of them all; there sketches of the sets (least hashes of bins) also drop what can't be similar, at five
-standard deviations, and sets are compared at once, so only links leave a bucket. What a pair shares is counted over all its buckets. Shingles stand by 64-bit hashes, texts by the hash of their words in lower case.
+standard deviations, and only a forest of what may be similar leaves a bucket. What it connects is a group, to which each text takes its
+whole set once, however many buckets it is in; sets are compared there. What a pair shares is counted over all its buckets. Shingles stand by 64-bit hashes, texts by the hash of their words in lower case.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small, written
+from .common import partitions, scratch, small, written
 from .trie import majority, trie_pairs
 
 #: Bits that fingerprints may differ in: see above.
@@ -165,6 +166,27 @@ def sketch(s: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+#: Shingles up to which a text takes its set to the buckets in place of a sketch.
+SHORT = 64
+
+
+def brief(s: np.ndarray) -> bytes:
+    """A short set as it is, else its sketch, two bins a byte."""
+    if s.size <= SHORT:
+        return s.tobytes()
+    bins = np.frombuffer(sketch(s), np.uint8)
+    return (bins[::2] | bins[1::2] << 4).tobytes()
+
+
+def unbrief(of: bytes, n: int) -> tuple[np.ndarray | None, bytes]:
+    """The set of n shingles if it is short, and its sketch."""
+    if n <= SHORT:
+        s = np.frombuffer(of, np.uint64)
+        return s, sketch(s)
+    two = np.frombuffer(of, np.uint8)
+    return None, np.stack([two & 15, two >> 4], 1).tobytes()
+
+
 def _alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     """Whether sets of that similarity can have these sketches: five standard deviations below what they agree in."""
     used = ((a > 0) | (b > 0)).sum(1)
@@ -240,57 +262,79 @@ def similar_links(docs: DataFrame, at: str, prints: DataFrame, shingle: int, lea
         one = prints.join(small(ids), F.col("fp") == F.col("_k")).groupBy(F.col("fp").alias("k")).agg(F.min(F.struct("file", "row")).alias("_at"))
         return docs.select(at, "text").join(small(written(one, "ids")), F.col(at) == F.col("_at")).select("k", "text")
 
-    def made(of: Callable[[np.ndarray], bytes]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def made(**of: Callable[[np.ndarray], bytes]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                yield pd.DataFrame({"k": b["k"], "s": [of(shingles(t, shingle)[1]) for t in b["text"]]})
+                sets = [shingles(t, shingle)[1] for t in b["text"]]
+                yield pd.DataFrame({"k": b["k"]} | {c: list(map(f, sets)) for c, f in of.items()})
 
         return run
 
     def checked(pairs: DataFrame) -> DataFrame:
-        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("_k")).distinct(), "ids")
-        sets = texts(ids).mapInPandas(made(lambda s: s.tobytes()), "k long, s binary")
-        return written(_checked(pairs, written(sets, "sets"), least), "links")
+        with scratch(docs.sparkSession):
+            ids = written(pairs.select(F.explode(F.array("a", "b")).alias("_k")).distinct(), "ids")
+            sets = texts(ids).mapInPandas(made(s=np.ndarray.tobytes), "k long, s binary")
+            return written(_checked(pairs, written(sets, "sets"), least), "links", keep=True)
+
+    def members(links: DataFrame) -> DataFrame:
+        """_n and root, of the roots too."""
+        tops = components(links)
+        return tops.unionByName(tops.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "_n")
 
     links = checked(pairs)
     large = found.filter("large").select("token", F.col("a").alias("k"), F.col("na").alias("n"), "fp")
     if not large.limit(1).count():
         return links
-    tops = components(links)
-    of = tops.unionByName(tops.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "_n")
-    parts = large.join(small(written(of, "parts")), F.col("k") == F.col("_n"), "left").select("token", "k", "n", "fp", F.coalesce("root", "k").alias("part"))
-    # Buckets that links have connected need no more.
-    open_ = written(parts.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select(F.col("token").alias("_t")), "open")
+    parts = large.join(small(written(members(links), "parts")), F.col("k") == F.col("_n"), "left").select("token", "k", "n", "fp", F.coalesce("root", "k").alias("part"))
+    # Buckets that links have connected need no more; of buckets that have the same texts, one is enough.
+    open_ = parts.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("k")).alias("u"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("v"))
+    open_ = written(open_.filter("x <> y").groupBy("size", "u", "v").agg(F.min("token").alias("_t")).select("_t"), "open")
     parts = written(parts.join(small(open_), F.col("token") == F.col("_t"), "left_semi"), "parts")
+    ids = written(parts.select(F.col("k").alias("_k")).distinct(), "ids")
+    sets = written(texts(ids).mapInPandas(made(s=np.ndarray.tobytes, short=brief), "k long, s binary, short binary"), "sets").withColumnRenamed("k", "_k")
 
-    # The few that are left take along their sets, and all their buckets: a pair is looked at in the first that it shares.
-    own = written(parts.groupBy("k").agg(F.collect_set("token").alias("buckets")).select(F.col("k").alias("_k"), "buckets"), "ids")
-    sets = written(texts(own.select("_k")).mapInPandas(made(lambda s: s.tobytes()), "k long, s binary").join(small(own), F.col("k") == F.col("_k")).select("_k", "s", "buckets"), "sets")
-    parts = parts.join(sets, F.col("k") == F.col("_k")).drop("_k")
+    def tied(end: str, of: Callable[[pd.DataFrame], list[tuple[np.ndarray | None, bytes]]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        """A forest of the pairs of different parts in a bucket that are similar, or may be if `of` has not both their sets."""
 
-    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Links in large buckets between texts that none connects yet."""
-        for pdf in _runs(batches):
-            token, k, n, fp, part = (pdf[c].to_numpy() for c in ("token", "k", "n", "fp", "part"))
-            order = np.lexsort((k, fp.astype(np.uint64), token))
-            token, k, n, fp, label = token[order], k[order], n[order], fp[order].astype(np.uint64), np.unique(part[order], return_inverse=True)[1]
-            own = [np.frombuffer(pdf["s"].iat[x], np.uint64) for x in order]
-            buckets = [frozenset(pdf["buckets"].iat[x]) for x in order]
-            drawn = np.frombuffer(b"".join(map(sketch, own)), np.uint8).reshape(-1, BINS)
-            found = []
-            for i, j in trie_pairs(token, fp, BITS, label, joins=True):
-                ok = _sizes(n, i, j, least)
-                i, j = i[ok], j[ok]
-                ok = _alike(drawn[i], drawn[j], least)
-                for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
-                    if label[x] == label[y] or min(buckets[x] & buckets[y]) != token[x]:
-                        continue
-                    a, b = own[x], own[y]
-                    both = int((b[np.minimum(np.searchsorted(b, a), b.size - 1)] == a).sum())
-                    if both >= least * (a.size + b.size - both) - 1e-9:
-                        found.append((k[x], k[y]))
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in _runs(batches):
+                order = np.lexsort((pdf["k"].to_numpy(), pdf["fp"].to_numpy().astype(np.uint64), pdf["token"].to_numpy()))
+                pdf = pdf.iloc[order]
+                token, n, fp, ends = (pdf[c].to_numpy() for c in ("token", "n", "fp", end))
+                label = np.unique(pdf["part"].to_numpy(), return_inverse=True)[1]
+                known = of(pdf)
+                own = [x[0] for x in known]
+                drawn = np.frombuffer(b"".join(x[1] for x in known), np.uint8).reshape(-1, BINS)
+                found = []
+                for i, j in trie_pairs(token, fp.astype(np.uint64), BITS, label, joins=True):
+                    ok = _sizes(n, i, j, least)
+                    i, j = i[ok], j[ok]
+                    ok = _alike(drawn[i], drawn[j], least)
+                    for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+                        if label[x] == label[y]:
+                            continue
+                        a, b = own[x], own[y]
+                        if a is not None and b is not None:
+                            both = int((b[np.minimum(np.searchsorted(b, a), b.size - 1)] == a).sum())
+                            if both < least * (a.size + b.size - both) - 1e-9:
+                                continue
+                        found.append((ends[x], ends[y]))
                         label[label == label[x]] = label[y]
-            yield pd.DataFrame(found, columns=["a", "b"])
+                yield pd.DataFrame(found, columns=["a", "b"])
+
+        return run
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(partitions(docs), "token").sortWithinPartitions("token", "k")
+
+    # Buckets see sketches, and find what may connect their parts; sets go to what is so connected, each once.
+    seen = dealt(parts.join(sets.select("_k", "short"), F.col("k") == F.col("_k")).drop("_k"))
+    maybe = written(seen.mapInPandas(tied("part", lambda pdf: [unbrief(*x) for x in zip(pdf["short"], pdf["n"], strict=True)]), _PAIR), "maybe")
+    groups = parts.select("k", "n", "fp", "part").distinct().join(small(written(members(maybe), "groups")), F.col("part") == F.col("_n"))
+    groups = small(written(groups.select(F.col("root").alias("token"), "k", "n", "fp", "part"), "groups"))
+
+    def whole(pdf: pd.DataFrame) -> list[tuple[np.ndarray, bytes]]:
+        return [(s, sketch(s)) for s in (np.frombuffer(x, np.uint64) for x in pdf["s"])]
 
-    late = parts.repartition(partitions(docs), "token").sortWithinPartitions("token", "k").mapInPandas(rest, _PAIR)
+    late = dealt(sets.select("_k", "s").join(groups, F.col("k") == F.col("_k")).drop("_k")).mapInPandas(tied("k", whole), _PAIR)
     return links.unionByName(written(late, "links"))

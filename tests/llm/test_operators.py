@@ -373,6 +373,37 @@ def test_near_stage_by_jaccard(spark, none, monkeypatch, bucket, common):
     assert simhash.deduplicated(none).count() == 0
 
 
+def shuffled(spark):
+    """Bytes that the session has shuffled so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    of = sc.statusStore().executorList(False)
+    return sum(of.apply(k).totalShuffleWrite() for k in range(of.size()))
+
+
+def test_near_stage_moves_sets_once(spark, monkeypatch):
+    """Texts below 0.8 that are in many large buckets together don't take their sets to each of them; some short, some at 0.8."""
+    from lakeloom.llm import similar
+
+    monkeypatch.setattr(similar, "BUCKET", 8)
+    monkeypatch.setattr(similar, "COMMON", 1000)
+    r = random.Random(5)
+    pool = [" ".join(f"w{r.randrange(5000)}" for _ in range(12)) for _ in range(80)]
+    rows = []
+    for k in range(48):
+        own = [p for p in pool if r.random() < 0.7]
+        rows += [(10 * k, " ".join(own))] + [(10 * k + 1, " ".join(own[3:]))] * (k % 4 == 0) + [(10 * k + 2, " ".join(own[:3]))] * (k % 3 == 0)
+    rows += [(1000 + k, " ".join([pool[0]] * 2 + [f"x{k // 2}"])) for k in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    before = shuffled(spark)
+    got = sorted(x[0] for x in simhash.deduplicated(df).collect())
+    moved = shuffled(spark) - before
+    assert got == jaccard_kept(rows)
+    assert len(got) < len(rows) - 20
+    size = sum(len(t) for _, t in rows)
+    assert moved < 10 * size
+
+
 @pytest.mark.parametrize("bucket", [4096, 4])
 def test_trie_join_connects_what_is_near(spark, monkeypatch, bucket):
     """Also where buckets are dealt out again, down to the last bits."""
