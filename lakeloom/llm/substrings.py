@@ -467,6 +467,8 @@ def merged(runs: DataFrame, parts: int) -> DataFrame:
                     full = max(MERGED, 2 * size)
                 lcp, texts = front.decode(block)
                 own = held[name]
+                if own[1]:  # a block's first string is whole; the merge goes by the prefix that it shares with the one before
+                    lcp[0] = front.shared(own[1][-1], texts[0])
                 for x, y in zip(own, (lcp, texts, np.frombuffer(places, "<i8").reshape(-1, 3).tolist()), strict=True):
                     x.extend(y)
                 size += len(texts)

@@ -241,6 +241,18 @@ def test_substrings(docs, none, monkeypatch):
     assert substrings.removed(none).count() == 0
 
 
+def test_substrings_runs_of_many_blocks(spark, monkeypatch):
+    """Strings with long common prefixes, in runs of several blocks: each block's first string shares a prefix with the one before."""
+    monkeypatch.setattr(substrings, "BLOCK", 3)
+    monkeypatch.setattr(substrings, "BATCH", 1 << 15)
+    r = random.Random(5)
+    base = [" ".join(r.choice(("ab", "ba", "aab", "bba")) for _ in range(60)) for _ in range(60)]
+    rows = [(i, "|".join(r.choice(base) for _ in range(r.randint(1, 6)))) for i in range(150)]
+    want = without_repeats(dict(rows), 100)
+    got = {r["doc_id"]: (bytes(r["text"]), r["n_removed"], r["n_spans"]) for r in substrings.removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == want
+
+
 def test_loser_tree():
     r = random.Random(3)
     runs = [sorted("".join(r.choice("ab") for _ in range(12)).encode() for _ in range(r.randint(0, 40))) for _ in range(7)]
