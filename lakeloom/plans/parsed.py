@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # Statements whose first child is the table that they change.
 _TARGETS = {"DeleteFromTable", "UpdateTable", "MergeIntoTable"}
+_LIMITS = {"GlobalLimit", "LocalLimit", "Offset"}
 
 
 class Expression:
@@ -28,10 +29,48 @@ def plan(spark: SparkSession, text: str) -> Any:
     return spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
 
 
-def frame(spark: SparkSession, tree: Any) -> DataFrame:
+def _frame(spark: SparkSession, tree: Any) -> DataFrame:
     return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, tree), spark)
 
 
+def frame(spark: SparkSession, tree: Any) -> DataFrame:
+    return ordered(_frame(spark, tree))
+
+
+def ordered(df: DataFrame) -> DataFrame:
+    """The frame with ORDER BY … LIMIT of its subqueries as written.
+
+    Where a subquery is correlated, Spark takes the order of its limit from a sort straight below. For columns that only
+    ORDER BY names it puts a projection between, and then any rows come. Here the projection goes above the limit.
+    """
+    jvm, tree = df.sparkSession._jvm, df._jdf.queryExecution().analyzed()
+    found = jvm.java.util.HashMap()
+
+    def over(node: Any, child: Any) -> Any:
+        return node.withNewChildren(jvm.PythonUtils.toSeq([child]))
+
+    def look(node: Any, within: bool) -> None:
+        if within and kind(node) in _LIMITS:
+            limits, projects, at = [], [], node
+            while kind(at) in _LIMITS:
+                limits.append(at)
+                at = at.child()
+            while kind(at) == "Project":
+                projects.append(at)
+                at = at.child()
+            if projects and kind(at) == "Sort":
+                for x in reversed([*projects, *limits]):
+                    at = over(x, at)
+                found.put(node, at)
+        for child in items(node.children()):
+            look(child, within)
+        for query in items(node.subqueries()):
+            look(query, True)
+
+    look(tree, False)
+    return df if found.isEmpty() else _frame(df.sparkSession, tree.transformDownWithSubqueries(jvm.PythonUtils.toScalaMap(found)))
+
+
 def kind(node: Any) -> str:
     return node.getClass().getSimpleName()
 

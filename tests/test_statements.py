@@ -98,3 +98,19 @@ def test_default_in_values_and_explain(lake):
     assert sorted(got(lake, "SELECT * FROM t WHERE i > 0")) == [(1, "ab"), (2, "x")] and got(lake, "SELECT * FROM t WHERE i IS NULL") == [(None, None)]
     assert "NOT_FOUND" not in got(lake, "EXPLAIN SELECT * FROM t")[0][0]
     assert [tuple(r) for r in lake.sql("SELECT s FROM t WHERE i = :k", args={"k": 2}).collect()] == [("x",)]
+
+
+def test_order_of_correlated_limits(lake):
+    """Columns that only ORDER BY names decide which rows stay, in the plan too: a shuffle keeps no order."""
+    lake.sql("CREATE TABLE c AS SELECT id AS k FROM range(5)")
+    lake.sql("CREATE TABLE o AS SELECT id % 4 AS k, id AS i, id * 7 % 30 AS v FROM range(30)")
+    want = {k: [i for _, i in sorted((-(i * 7 % 30), i) for i in range(k, 30, 4))] for k in range(4)}
+    for query, rows in (
+        ("SELECT c.k, t.i FROM c, LATERAL (SELECT i FROM o WHERE o.k = c.k ORDER BY v DESC, i LIMIT 1) AS t", [(k, want[k][0]) for k in range(4)]),
+        ("SELECT c.k, t.i FROM c, LATERAL (SELECT i FROM o WHERE o.k = c.k ORDER BY v DESC, i LIMIT 2 OFFSET 1) AS t", [(k, i) for k in range(4) for i in want[k][1:3]]),
+        ("SELECT c.k, (SELECT i FROM o WHERE o.k = c.k ORDER BY v DESC LIMIT 1) FROM c WHERE c.k < 4", [(k, want[k][0]) for k in range(4)]),
+    ):
+        df = lake.sql(query)
+        window = next(x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in x)
+        assert "row_number() windowspecdefinition" in window and "DESC" in window
+        assert sorted(map(tuple, df.collect())) == sorted(rows)
