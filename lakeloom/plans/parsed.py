@@ -29,12 +29,12 @@ def plan(spark: SparkSession, text: str) -> Any:
     return spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
 
 
-def _frame(spark: SparkSession, tree: Any) -> DataFrame:
+def raw(spark: SparkSession, tree: Any) -> DataFrame:
     return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, tree), spark)
 
 
 def frame(spark: SparkSession, tree: Any) -> DataFrame:
-    return ordered(_frame(spark, tree))
+    return ordered(raw(spark, tree))
 
 
 def ordered(df: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def ordered(df: DataFrame) -> DataFrame:
             look(query, True)
 
     look(tree, False)
-    return df if found.isEmpty() else _frame(df.sparkSession, tree.transformDownWithSubqueries(jvm.PythonUtils.toScalaMap(found)))
+    return df if found.isEmpty() else raw(df.sparkSession, tree.transformDownWithSubqueries(jvm.PythonUtils.toScalaMap(found)))
 
 
 def kind(node: Any) -> str:

@@ -1,7 +1,9 @@
+import math
+
 import pytest
 
 from lakeloom.errors import CatalogError, NotSupported
-from lakeloom.plans import parsed
+from lakeloom.plans import bands, parsed
 from lakeloom.sources.lake import Lake
 
 
@@ -114,3 +116,21 @@ def test_order_of_correlated_limits(lake):
         window = next(x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in x)
         assert "row_number() windowspecdefinition" in window and "DESC" in window
         assert sorted(map(tuple, df.collect())) == sorted(rows)
+
+
+@pytest.mark.parametrize("piece", [1 << 16, 5])
+def test_joins_on_bands(spark, lake, monkeypatch, piece):
+    """By cells, not by all pairs; with nulls, NaN, infinity, full cells, strict bounds, and a table joined with itself."""
+    monkeypatch.setattr(bands, "PIECE", piece)
+    values = [None, math.nan, math.inf, -math.inf, 1e17, 0.0, -0.0, *(k * 0.37 % 9 - 4 for k in range(60))]
+    lake.create_table_as("a", spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k long, x double"))
+    lake.create_table_as("b", spark.createDataFrame([(k, v) for k, v in enumerate(reversed(values + values[:20]))], "k long, y double"))
+    le = lambda p, q: None not in (p, q) and (math.isnan(q) or p <= q)  # noqa: E731 - NaN is the greatest
+    a, b = ([tuple(r) for r in lake.table(t).collect()] for t in ("a", "b"))
+    near = sorted((i, j) for i, x in a if x is not None for j, y in b if le(x - 1, y) and le(y, x + 1))
+    for query in ("SELECT a.k, b.k FROM a JOIN b ON b.y BETWEEN a.x - 1 AND a.x + 1", "SELECT a.k, b.k FROM b JOIN a ON a.x - 1 <= b.y AND 1 + a.x >= b.y"):
+        df = lake.sql(query)
+        assert "_y_cell" in df._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, df.collect())) == near
+    above = sum(le(x, y) and le(y, x + 2) and x != y for _, x in a if x is not None and not math.isnan(x) for _, y in a)
+    assert got(lake, "SELECT count(*) FROM a JOIN a AS c ON c.x > a.x AND c.x <= a.x + 2") == [(above,)]
